@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import curriculum_mix
+from chronoloom.llm import curriculum_mix, langid_ecoc, quality_pu
 from chronoloom.llm.common import table
 
 
+def op1_quality_pu(spark, sf_dir):
+    return quality_pu.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_langid_ecoc(spark, sf_dir):
+    return langid_ecoc.language_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_curriculum_mix(spark, sf_dir):
     return curriculum_mix.mix_digest(table(spark, sf_dir, "documents"))
 
