@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import curriculum_mix, langid_ecoc, quality_pu, warc_segments
+from chronoloom.llm import curriculum_mix, html_wrapper, langid_ecoc, quality_pu, warc_segments
 from chronoloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_langid_ecoc(spark, sf_dir):
     return langid_ecoc.language_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_html_wrapper(spark, sf_dir):
+    return html_wrapper.html_digest(table(spark, sf_dir, "pages"))
+
+
 def op4_warc_segments(spark, sf_dir):
     return warc_segments.warc_digest(table(spark, sf_dir, "pages"))
 
