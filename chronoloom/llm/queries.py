@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import curriculum_mix, html_wrapper, langid_ecoc, quality_pu, warc_segments
+from chronoloom.llm import curriculum_mix, html_wrapper, langid_ecoc, minhash_bbit, quality_pu, warc_segments
 from chronoloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_warc_segments(spark, sf_dir):
     return warc_segments.warc_digest(table(spark, sf_dir, "pages"))
 
 
+def op6_minhash_bbit(spark, sf_dir):
+    return minhash_bbit.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_curriculum_mix(spark, sf_dir):
     return curriculum_mix.mix_digest(table(spark, sf_dir, "documents"))
 
@@ -31,4 +35,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op8_curriculum_mix": curriculum_mix.ORACLE}
+    return {"op6_minhash_bbit": minhash_bbit.ORACLE, "op8_curriculum_mix": curriculum_mix.ORACLE}
