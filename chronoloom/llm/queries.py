@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import curriculum_mix, html_wrapper, langid_ecoc, minhash_bbit, quality_pu, warc_segments
+from chronoloom.llm import bm25_decon, curriculum_mix, html_wrapper, langid_ecoc, line_align, minhash_bbit, quality_pu, rp_forest, warc_segments
 from chronoloom.llm.common import table
 
 
@@ -22,17 +22,29 @@ def op4_warc_segments(spark, sf_dir):
     return warc_segments.warc_digest(table(spark, sf_dir, "pages"))
 
 
+def op5_line_align(spark, sf_dir):
+    return line_align.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_bbit(spark, sf_dir):
     return minhash_bbit.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_rp_forest(spark, sf_dir):
+    return rp_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_curriculum_mix(spark, sf_dir):
     return curriculum_mix.mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_bm25_decon(spark, sf_dir):
+    return bm25_decon.decon_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict:
-    return {"op6_minhash_bbit": minhash_bbit.ORACLE, "op8_curriculum_mix": curriculum_mix.ORACLE}
+    return {"op6_minhash_bbit": minhash_bbit.ORACLE, "op7_rp_forest": rp_forest.ORACLE, "op8_curriculum_mix": curriculum_mix.ORACLE, "op9_bm25_decon": bm25_decon.ORACLE}
