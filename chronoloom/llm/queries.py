@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronoloom.llm import bm25_decon, curriculum_mix, html_wrapper, langid_ecoc, line_align, minhash_bbit, quality_pu, rp_forest, warc_segments
+from chronoloom.llm import bm25_decon, ctx_mix_lm, curriculum_mix, html_wrapper, langid_ecoc, line_align, minhash_bbit, quality_pu, rp_forest, warc_segments
 from chronoloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op9_bm25_decon(spark, sf_dir):
     return bm25_decon.decon_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_ctx_mix_lm(spark, sf_dir):
+    return ctx_mix_lm.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
