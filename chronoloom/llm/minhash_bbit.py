@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import discard, materialize, mix64
+from chronoloom.llm.common import discard, materialize, mix64, with_ids, without_ids
 from chronoloom.llm.components import components
 from chronoloom.llm.shingles import of_text
 
@@ -152,7 +152,7 @@ def fine_signatures(docs: DataFrame, ids: DataFrame) -> DataFrame:
             fine = [packed(minima(s, _FINE_MUL, _FINE_ADD), FINE_BITS) if len(s := of_text(t)) else None for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fine, pa.list_(pa.int64()))], ["c", "fine"])
 
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("c"), "left_semi")
+    texts = with_ids(docs.select("doc_id", "text"), "doc_id", ids)
     return materialize(texts.mapInArrow(run, f"c {doc_type}, fine array<bigint>").where("fine is not null"), "mh-fine")
 
 
@@ -170,7 +170,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             sets = [of_text(t).view(np.int64) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["c", "s"])
 
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("c"), "left_semi")
+    texts = with_ids(docs.select("doc_id", "text"), "doc_id", ids)
     sets = materialize(texts.mapInArrow(run, f"c {doc_type}, s array<bigint>").where("size(s) > 0"), "mh-sets")
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     open_keys = materialize(open_keys, "mh-open-keys")
     rest = materialize(labelled.join(open_keys, "key"), "mh-rest")
-    fine = fine_signatures(docs, rest.select(F.col("doc_id").alias("c")).distinct())
+    members = materialize(rest.select(F.col("doc_id").alias("c")).distinct(), "mh-members")
+    fine = fine_signatures(docs, members)
     wide = rest.join(own, "doc_id").join(fine, F.col("doc_id") == F.col("c")).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     wide = wide.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "doc_id", "component", F.col("n_shingles").alias("n"), "sig", "fine", "bands")
@@ -226,7 +227,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     out = member.select("doc_id", "n_shingles", "rep").join(comp, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     none = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.unionAll(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    discard(reps, hubs, in_shared, star, links, labelled, open_keys, rest, fine, cross, more)
+    discard(reps, hubs, in_shared, star, links, labelled, open_keys, rest, members, fine, cross, more)
+    return out
+
+
+def near_dedup_stage(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Pipeline stage: of each group of near duplicates (similarity 0.8 or more) the row with the least doc_id stays, unchanged.
+
+    Documents without shingles and rows with a null doc_id all stay; of rows that share the doc_id that stays, equal
+    texts stay once.
+    """
+    found = near_duplicates(docs, percent)
+    gone = materialize(found.where("not kept").select(F.col("doc_id").alias("c")).distinct(), "mh-gone")
+    out = without_ids(docs, "doc_id", gone)
+    several = materialize(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("c")).count().where("count > 1").select("c"), "mh-several")
+    if several.limit(1).count():
+        again = out.join(several, F.col("doc_id") == F.col("c"), "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(several, F.col("doc_id") == F.col("c"), "left_anti").unionByName(again)
     return out
 
 
