@@ -92,7 +92,7 @@ def fresh_name(df: DataFrame, base: str) -> str:
 
 
 def _id_marks(ids: DataFrame) -> tuple:
-    """A bitmap of the ids' hashes as a broadcast table (w_, m_), and functions of a key: its word, whether its bit is set.
+    """A bitmap of the ids' hashes as a broadcast table (word, bits), and functions of a key: its word, whether its bit is set.
 
     16 bits an id, 2^27 bits at most: a broadcast of 2^21 words, however many ids there are.
     """
@@ -101,20 +101,20 @@ def _id_marks(ids: DataFrame) -> tuple:
     word = lambda c: F.floor(F.pmod(F.xxhash64(c), F.lit(bits)) / 64).cast("bigint")
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(F.col(name)))
-    marks = ids.select(word(F.col(name)).alias("w_"), one.alias("m_")).groupBy("w_").agg(F.bit_or("m_").alias("m_"))
-    return F.broadcast(marks), word, lambda c: F.getbit("m_", bit(c)) == 1
+    marks = ids.select(word(F.col(name)).alias("__ids_word"), one.alias("__ids_bits")).groupBy("__ids_word").agg(F.bit_or("__ids_bits").alias("__ids_bits"))
+    return F.broadcast(marks), word, lambda c: F.getbit("__ids_bits", bit(c)) == 1
 
 
 def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose key is in ids (a written table with one column): a semi join that shuffles only rows that the bitmap lets through."""
     marks, word, is_set = _id_marks(ids)
-    passed = df.join(marks, (word(F.col(key)) == F.col("w_")) & is_set(F.col(key))).select(*df.columns)
+    passed = df.join(marks, (word(F.col(key)) == F.col("__ids_word")) & is_set(F.col(key))).select(*df.columns)
     return passed.join(ids, passed[key] == ids[ids.columns[0]], "left_semi")
 
 
 def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose key isn't in ids: those that the bitmap clears, and of the others those that an anti join leaves. Null keys stay."""
     marks, word, is_set = _id_marks(ids)
-    marked = df.join(marks, word(F.col(key)) == F.col("w_"), "left").withColumn("m_", F.coalesce(is_set(F.col(key)), F.lit(False)))
-    unsure = marked.where("m_").select(*df.columns)
-    return marked.where("not m_").select(*df.columns).unionAll(unsure.join(ids, unsure[key] == ids[ids.columns[0]], "left_anti"))
+    marked = df.join(marks, word(F.col(key)) == F.col("__ids_word"), "left").withColumn("__ids_bits", F.coalesce(is_set(F.col(key)), F.lit(False)))
+    unsure = marked.where("__ids_bits").select(*df.columns)
+    return marked.where("not __ids_bits").select(*df.columns).unionAll(unsure.join(ids, unsure[key] == ids[ids.columns[0]], "left_anti"))

@@ -242,8 +242,8 @@ def near_dedup_stage(docs: DataFrame, percent: int = 80) -> DataFrame:
     out = without_ids(docs, "doc_id", gone)
     several = materialize(found.where("kept and n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("c")).count().where("count > 1").select("c"), "mh-several")
     if several.limit(1).count():
-        again = out.join(several, F.col("doc_id") == F.col("c"), "left_semi").dropDuplicates(["doc_id", "text"])
-        out = out.join(several, F.col("doc_id") == F.col("c"), "left_anti").unionByName(again)
+        again = out.join(several, out["doc_id"] == several["c"], "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(several, out["doc_id"] == several["c"], "left_anti").unionByName(again)
     return out
 
 
