@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def line_id():
+    """Unique: order and line number alone don't tell lines apart in these tables."""
+    return ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1_000_003 + F.col("l_partkey")) * 10_007 + F.col("l_suppkey")
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,7 +35,7 @@ def events_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A homogeneous graph: suppliers and part numbers modulo 100 share an id space."""
     li = load(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_suppkey").alias("src"), F.pmod("l_partkey", F.lit(100)).alias("dst"), unix("l_shipdate").alias("t"), F.col("l_linestatus").alias("event_type"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return li.select(F.col("l_suppkey").alias("src"), F.pmod("l_partkey", F.lit(100)).alias("dst"), unix("l_shipdate").alias("t"), F.col("l_linestatus").alias("event_type"), line_id().alias("id"))
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,13 +44,13 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).select(
         F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst"), unix("o_orderdate").alias("t"), F.col("o_orderpriority").alias("event_type"),
         F.when(F.col("l_returnflag") == "R", "returned").otherwise("normal").alias("label"), F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        line_id().alias("id"),
     )
 
 
 EV = """ev as (select user_id src, (props->>'$.k')::bigint dst, epoch_us(ts)//1000000 t, event_type,
   case when event_type = 'error' then 'error' else 'normal' end as label, value, event_id id from events)"""
-SP = "sp as (select l_suppkey src, l_partkey % 100 dst, epoch_us(l_shipdate)//1000000 t, l_linestatus event_type, l_orderkey*10+l_linenumber id from lineitem)"
+SP = "sp as (select l_suppkey src, l_partkey % 100 dst, epoch_us(l_shipdate)//1000000 t, l_linestatus event_type, ((l_orderkey*8+l_linenumber)*1000003+l_partkey)*10007+l_suppkey id from lineitem)"
 OE = """oe as (select o_custkey src, l_suppkey dst, epoch_us(o_orderdate)//1000000 t, o_orderpriority event_type,
-  case when l_returnflag = 'R' then 'returned' else 'normal' end as label, l_extendedprice amount, l_quantity quantity, l_discount discount, l_orderkey*10+l_linenumber id
+  case when l_returnflag = 'R' then 'returned' else 'normal' end as label, l_extendedprice amount, l_quantity quantity, l_discount discount, ((l_orderkey*8+l_linenumber)*1000003+l_partkey)*10007+l_suppkey id
   from lineitem join orders on l_orderkey = o_orderkey)"""
