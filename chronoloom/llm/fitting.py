@@ -10,9 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def hash_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
+    """The bound rows with the smallest hashes of key: the same ones on every run.
+
+    The rows are counted first and only about twice as many as are wanted go into the top-k, so that what its last task
+    reads doesn't grow with the table.
+    """
+    h, parts = F.xxhash64(key, F.lit(seed)), 1 << 40
+    share = min(parts, 2 * bound * parts // max(df.count(), 1) + 1)
+    return df.where(F.pmod(h, F.lit(parts)) < share).orderBy(h, key).limit(bound)
+
+
 def sample_ids(ids: DataFrame, bound: int, seed: int) -> DataFrame:
-    """The bound ids with the smallest hashes: the same ones on every run, at most bound rows, found without a full sort."""
-    return ids.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(bound)
+    return hash_sample(ids.select("doc_id"), "doc_id", bound, seed)
 
 
 def sample_ids_by(ids: DataFrame, label: str, bound: int, seed: int) -> DataFrame:
