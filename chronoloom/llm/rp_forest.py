@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.llm.common import discard, materialize
 from chronoloom.llm.components import components
+from chronoloom.llm.fitting import hash_sample
 
 TREES, LEAF, SAMPLE, WIDE = 6, 48, 20_000, 1024
 SPILL = 0.4
@@ -160,7 +161,7 @@ def links(reps: DataFrame, dims: int, threshold: float, rounds: int = 8) -> Data
     band = spill_band(dims, threshold)
     rep_type = reps.schema["rep"].dataType.simpleString()
     # a bounded sample of SAMPLE vectors comes to the driver
-    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(31)), "rep").limit(SAMPLE).toArrow()
+    sample = hash_sample(reps.select("rep", "v"), "rep", SAMPLE, 31).toArrow()
     x = unit_rows(sample.column("v"), dims)
     trees = [build_tree(x, 1000 + t, band) for t in range(TREES)]
     wide = materialize(_leaf_rows(reps, dims, trees, band), "rp-leaves")
