@@ -69,9 +69,9 @@ def estimate_prior(score_p: np.ndarray, score_u: np.ndarray) -> float:
     """The share of positives among the unlabelled: the least ratio of tail masses U(s >= t) / P(s >= t).
 
     As U = pi P + (1 - pi) N, each ratio is at least pi, and equal to it where the tail holds no negatives. Tails with
-    under a third of the positives are left out as too noisy.
+    under half of the positives are left out as too noisy.
     """
-    cuts = np.quantile(score_p, np.linspace(0.0, 0.67, 60))
+    cuts = np.quantile(score_p, np.linspace(0.0, 0.5, 45))
     ratio = [(score_u >= t).mean() / max((score_p >= t).mean(), 1e-9) for t in cuts]
     return float(np.clip(min(ratio), 0.05, 0.99))
 
