@@ -42,7 +42,7 @@ def real(x: float) -> str:
 
 
 def _lit_array(xs: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in xs])
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in xs)})")  # one call to the JVM, not one a number
 
 
 def poisson_cdf(mean: float) -> list[float]:
@@ -76,7 +76,13 @@ def weights_cdf(weights: list[float]) -> list[float]:
 
 def pick(draw: Column, cdf: list[float]) -> Column:
     """Index of the outcome: how many of the distribution function's values are at or under the draw; the last one absorbs rounding."""
-    return F.least(F.size(F.filter(_lit_array(cdf), lambda x: x <= draw)), F.lit(len(cdf) - 1)).cast("int")
+    table = _lit_array(cdf)
+    return F.least(once(draw, lambda d: F.size(F.filter(table, lambda x: x <= d))), F.lit(len(cdf) - 1)).cast("int")
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with value evaluated once a row: a lambda's body is evaluated for each element, so a draw must not stand in one."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def pick_sql(draw: str, cdf: list[float]) -> str:

@@ -12,9 +12,10 @@ from chronoloom.functions import text as T
 K1, B = 1.5, 0.75
 
 
-def term_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, term, tf, len."""
+def term_counts(docs: DataFrame, key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, len; only: the terms that are wanted (column term), which are joined before anything is counted."""
     t = docs.select(key, T.tokens(F.coalesce("text", F.lit(""))).alias("w")).select(key, F.size("w").alias("len"), F.explode("w").alias("term"))
+    t = t if only is None else t.join(only, "term", "left_semi")
     return t.groupBy(key, "term", "len").agg(F.count("*").alias("tf"))
 
 
@@ -25,12 +26,12 @@ def document_frequencies(counts: DataFrame) -> DataFrame:
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """item_id, rank, doc_id, score: the k best documents for each query text, among those that score above 0.
 
-    Only the queries' terms leave the corpus: postings are filtered by a join on the distinct query terms before they
-    are weighted; Spark broadcasts those where the table is small.
+    Only the queries' terms leave the corpus: tokens are filtered by a semi join on the distinct query terms before they
+    are counted; Spark broadcasts those where the table is small.
     """
     q = queries.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     stats = docs.select(F.size(T.tokens(F.coalesce("text", F.lit("")))).alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    postings = term_counts(docs).join(q.select("term").distinct(), "term")
+    postings = term_counts(docs, only=q.select("term").distinct())
     weighted = postings.join(document_frequencies(postings), "term").crossJoin(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
