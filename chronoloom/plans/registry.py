@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ["stats_queries", "check_queries", "topology_queries", "relational_queries", "link_queries", "retrieval_queries", "sink_queries", "simulate_queries"]
+FAMILIES = ["stats_queries", "check_queries", "topology_queries", "relational_queries", "link_queries", "retrieval_queries", "sink_queries", "simulate_queries", "grounding_queries"]
 
 
 def entries() -> dict:
