@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.session import cut
 
 def actor_filter(nodes: DataFrame, conditions: dict[str, str]) -> DataFrame:
     """Conjunction of equalities on categorical columns; a numeric or unknown column is an error."""
@@ -35,7 +36,7 @@ def k_core(edges: DataFrame, k: int, rounds: int = 50) -> DataFrame:
     n = edges.count()
     for _ in range(rounds):
         ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("d")).where(F.col("d") >= k).select("node")
-        kept = edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi").checkpoint()
+        kept = cut(edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         m = kept.count()
         if m in (n, 0):
             return kept.select(*edges.columns)

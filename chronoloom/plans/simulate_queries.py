@@ -14,6 +14,7 @@ from chronoloom.plans import topology as T
 from chronoloom.plans.check_queries import WEEK, _limit_sql
 from chronoloom.plans.stats_queries import ev
 from chronoloom.rules.model import load
+from chronoloom.session import shared_dir
 from chronoloom.sources.tables import EV, events_edges
 from chronoloom.sources.tables import load as table
 from chronoloom.streaming import edges as E
@@ -120,8 +121,7 @@ def stream_source(spark, d):
 
 
 def _scratch(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_daily(spark, d):

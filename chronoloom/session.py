@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "chronoloom", cpus: int | None = None, memory: str = "8g", extra: dict | None = None) -> SparkSession:
@@ -22,3 +23,18 @@ def build_session(app: str = "chronoloom", cpus: int | None = None, memory: str
     spark = SparkSession.builder.master(f"local[{n}]").appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one that the context was given; a temporary one only where both are unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder: its lineage ends there, and it outlives executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
