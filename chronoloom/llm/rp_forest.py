@@ -7,9 +7,10 @@ ways, and a pair at the threshold is parted by 3 % of the splits; over 10 levels
 TREES trees all but one in a thousand. Closer pairs are parted less.
 
 The trees are fitted on a bounded sample of SAMPLE vectors, those with the smallest hashes, until a leaf holds at most
-LEAF of the sample. As a table can be much larger than the sample, leaves that hold more than WIDE vectors are split
-again by new directions, in further rounds, until each fits or can't be split (nearly all its vectors would go both
-ways); such a leaf is compared in blocks of WIDE. Every vector is indexed; nothing is capped or dropped.
+LEAF of the sample. As a table can be much larger than the sample, leaves that hold more than WIDE vectors get a tree of
+their own, fitted on SLOTS of their vectors, in further rounds, until each fits or can't be split (nearly all its vectors
+would go both ways); such a leaf is compared in blocks of WIDE. A round divides a leaf by about SLOTS / LEAST_LEAF, so
+their number grows with the logarithm of the table. Every vector is indexed; nothing is capped or dropped.
 
 Within leaves all pairs are compared by cosine in double precision and those at or above the threshold are links;
 links from several trees count once. n_links counts the copies in linked classes, which are never expanded into pairs.
@@ -21,7 +22,9 @@ and no one's partner; rows that share a vec_id count as separate vectors; labels
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from chronoloom.llm.common import discard, materialize
 from chronoloom.llm.components import components
 from chronoloom.llm.fitting import hash_sample
 
-TREES, LEAF, SAMPLE, WIDE = 6, 48, 20_000, 1024
+TREES, LEAF, SAMPLE, WIDE, SLOTS, LEAST_LEAF = 6, 160, 20_000, 1024, 512, 16
 SPILL = 0.4
 #: A split is made only if neither side gets more than this share of the vectors.
 LARGEST_SIDE = 0.9
@@ -40,11 +43,25 @@ LARGEST_SIDE = 0.9
 _BATCH = 5000
 
 
+@functools.lru_cache(maxsize=8192)
+def direction(seed: int, dims: int) -> np.ndarray:
+    d = np.random.default_rng(seed).standard_normal(dims)
+    return d / np.linalg.norm(d)
+
+
 class Tree:
-    """Flat arrays: direction and cut of each inner node, children (negative: leaf number + 1, negated)."""
+    """Flat arrays: seed of the direction and cut of each inner node, children (negative: leaf number + 1, negated)."""
+
+    def __init__(self, seeds, cuts, left, right):
+        self.seeds, self.cuts, self.left, self.right = (np.asarray(x, t) for x, t in ((seeds, np.int64), (cuts, np.float64), (left, np.int64), (right, np.int64)))
 
-    def __init__(self, directions, cuts, left, right, leaves):
-        self.directions, self.cuts, self.left, self.right, self.leaves = directions, cuts, left, right, leaves
+    def to_bytes(self) -> bytes:
+        return np.concatenate([self.seeds, self.cuts.view(np.int64), self.left, self.right]).tobytes()
+
+    @staticmethod
+    def from_bytes(raw: bytes) -> Tree:
+        seeds, cuts, left, right = np.frombuffer(raw, np.int64).reshape(4, -1)
+        return Tree(seeds, cuts.view(np.float64), left, right)
 
     def route(self, x: np.ndarray, band: float) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and leaf numbers of each row of x; spilled rows have several."""
@@ -58,8 +75,8 @@ class Tree:
                 out_rows.append(rows)
                 out_leaves.append(np.full(len(rows), -node - 1))
                 continue
-            p = x[rows] @ self.directions[node] - self.cuts[node]
-            todo += [(self.left[node], rows[p <= band]), (self.right[node], rows[p > -band])]
+            p = x[rows] @ direction(int(self.seeds[node]), x.shape[1]) - self.cuts[node]
+            todo += [(int(self.left[node]), rows[p <= band]), (int(self.right[node]), rows[p > -band])]
         return (np.concatenate(out_rows), np.concatenate(out_leaves)) if out_rows else (np.zeros(0, int), np.zeros(0, int))
 
 
@@ -68,36 +85,33 @@ def spill_band(dims: int, threshold: float) -> float:
     return SPILL * math.sqrt(max(2 - 2 * threshold, 0)) / math.sqrt(dims)
 
 
-def build_tree(x: np.ndarray, seed: int, band: float, leaf: int = LEAF) -> Tree:
-    rng = np.random.default_rng(seed)
-    directions, cuts, left, right, leaves = [], [], [], [], 0
+def build_tree(x: np.ndarray, seed: int, band: float, leaf: int) -> Tree:
+    seeds, cuts, left, right, leaves, tried = [], [], [], [], 0, 0
     todo = [(np.arange(len(x)), None, 0)]
     while todo:
         rows, parent, side = todo.pop()
         split = None
-        if len(rows) > leaf:
-            for _ in range(4):  # a direction along which the node is wider than the band
-                d = rng.standard_normal(x.shape[1])
-                d /= np.linalg.norm(d)
-                p = x[rows] @ d
-                cut = float(np.median(p))
-                lo, hi = int((p <= cut + band).sum()), int((p > cut - band).sum())
-                if max(lo, hi) <= LARGEST_SIDE * len(rows):
-                    split = d, cut, p
-                    break
+        for _ in range(4 if len(rows) > leaf else 0):  # a direction along which the node is wider than the band
+            tried += 1
+            p = x[rows] @ direction(seed * 1_000_003 + tried, x.shape[1])
+            cut = float(np.median(p))
+            if max((p <= cut + band).sum(), (p > cut - band).sum()) <= LARGEST_SIDE * len(rows):
+                split = seed * 1_000_003 + tried, cut, p
+                break
         if split is None:
-            ref, leaves = -(leaves + 1), leaves + 1
+            leaves += 1
+            ref = -leaves
         else:
-            d, cut, p = split
+            own, cut, p = split
             ref = len(cuts)
-            directions.append(d)
+            seeds.append(own)
             cuts.append(cut)
             left.append(0)
             right.append(0)
             todo += [(rows[p <= cut + band], ref, 0), (rows[p > cut - band], ref, 1)]
         if parent is not None:
             (left if side == 0 else right)[parent] = ref
-    return Tree(np.array(directions), np.array(cuts), left, right, leaves)
+    return Tree(seeds, cuts, left, right)
 
 
 def unit_rows(column, dims: int) -> np.ndarray:
@@ -163,7 +177,7 @@ def links(reps: DataFrame, dims: int, threshold: float, rounds: int = 8) -> Data
     # a bounded sample of SAMPLE vectors comes to the driver
     sample = hash_sample(reps.select("rep", "v"), "rep", SAMPLE, 31).toArrow()
     x = unit_rows(sample.column("v"), dims)
-    trees = [build_tree(x, 1000 + t, band) for t in range(TREES)]
+    trees = [build_tree(x, 1000 + t, band, LEAF) for t in range(TREES)]
     wide = materialize(_leaf_rows(reps, dims, trees, band), "rp-leaves")
     held, done = [wide], None
     for r in range(rounds + 1):
@@ -172,14 +186,14 @@ def links(reps: DataFrame, dims: int, threshold: float, rounds: int = 8) -> Data
         big = sizes.where(F.col("n") > WIDE)
         last = r == rounds or not big.limit(1).count()
         if not last:
-            cuts = materialize(_cuts(wide.join(big.select("leaf"), "leaf"), dims, band, 7000 + r), "rp-cuts")
-            held.append(cuts)
-            sizes = sizes.join(cuts.select("leaf", F.col("d").isNotNull().alias("again")), "leaf", "left").where(~F.coalesce("again", F.lit(False))).select("leaf", "n")
+            own = materialize(_own_trees(wide.join(big, "leaf"), dims, band, 7000 + r), "rp-trees")
+            held.append(own)
+            sizes = sizes.join(own.select("leaf", F.col("tree").isNotNull().alias("again")), "leaf", "left").where(~F.coalesce("again", F.lit(False))).select("leaf", "n")
         kept = wide.join(sizes.select("leaf", F.ceil(F.col("n") / WIDE).cast("int").alias("blocks")), "leaf")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        wide = materialize(_split_again(wide, cuts.where("d is not null"), dims, band), "rp-wide")
+        wide = materialize(_split_again(wide, own.where("tree is not null"), dims, band), "rp-wide")
         held.append(wide)
     blk = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     done = done.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -190,39 +204,38 @@ def links(reps: DataFrame, dims: int, threshold: float, rounds: int = 8) -> Data
     return out
 
 
-def _cuts(rows: DataFrame, dims: int, band: float, seed: int) -> DataFrame:
-    """leaf, d, cut: a direction and cut for each leaf from a bounded sample of its vectors; d is null where it can't be split."""
+def _own_trees(rows: DataFrame, dims: int, band: float, seed: int) -> DataFrame:
+    """leaf, tree: a tree for each leaf (rows: leaf, rep, v, n) from SLOTS of its vectors at most, those that own a hash slot; null if it can't be split."""
     h = F.xxhash64("rep", F.lit(seed))
-    sampled = rows.groupBy("leaf", F.pmod(h, F.lit(64)).alias("s")).agg(F.min_by("v", h).alias("v"))
+    sampled = rows.groupBy("leaf", "n", F.pmod(h, F.lit(SLOTS)).alias("s")).agg(F.min_by("v", h).alias("v"))
 
-    def cut(key, tbl):
+    def run(key, tbl):
+        name, n = key[0].as_py(), key[1].as_py()
         x = unit_rows(tbl.column("v"), dims)
-        d = np.random.default_rng([seed, *key[0].as_py().encode()]).standard_normal((6, dims))
-        d /= np.linalg.norm(d, axis=1)[:, None]
-        p = x @ d.T
-        mid = np.median(p, axis=0)
-        larger = np.maximum((p <= mid + band).mean(0), (p > mid - band).mean(0))
-        best = int(larger.argmin())
-        ok = larger[best] <= LARGEST_SIDE
-        return pa.table({"leaf": pa.array([key[0].as_py()], pa.string()), "d": pa.array([d[best] if ok else None], pa.list_(pa.float64())), "cut": pa.array([float(mid[best])])})
+        tree = build_tree(x, zlib.crc32(f"{seed}{name}".encode()), band, max(LEAST_LEAF, len(x) * WIDE // (2 * n)))
+        return pa.table({"leaf": pa.array([name], pa.string()), "tree": pa.array([tree.to_bytes() if len(tree.cuts) else None], pa.binary())})
 
-    return sampled.groupBy("leaf").applyInArrow(cut, "leaf string, d array<double>, cut double")
+    return sampled.groupBy("leaf", "n").applyInArrow(run, "leaf string, tree binary")
 
 
-def _split_again(rows: DataFrame, cuts: DataFrame, dims: int, band: float) -> DataFrame:
-    """Each row of a leaf that has a cut, once or twice, in the leaf's two parts."""
+def _split_again(rows: DataFrame, trees: DataFrame, dims: int, band: float) -> DataFrame:
+    """Each row of a leaf that has a tree, once for each of the tree's leaves that it falls in."""
 
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            p = (unit_rows(b.column("v"), dims) * b.column("d").flatten().to_numpy().reshape(-1, dims)).sum(1) - b.column("cut").to_numpy()
-            for side, ok in (("0", p <= band), ("1", p > -band)):
-                at = pa.array(np.flatnonzero(ok))
-                yield pa.RecordBatch.from_arrays([pa.array([x + side for x in b.column("leaf").take(at).to_pylist()], pa.string()), b.column("rep").take(at), b.column("v").take(at)], ["leaf", "rep", "v"])
+            x, names = unit_rows(b.column("v"), dims), np.array(b.column("leaf").to_pylist(), object)
+            for name in dict.fromkeys(names):
+                mine = np.flatnonzero(names == name)
+                tree = Tree.from_bytes(b.column("tree")[int(mine[0])].as_py())
+                at, leaf = tree.route(x[mine], band)
+                for k in range(0, len(at), _BATCH):
+                    own = pa.array(mine[at[k : k + _BATCH]])
+                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}{n}:" for n in leaf[k : k + _BATCH].tolist()], pa.string()), b.column("rep").take(own), b.column("v").take(own)], ["leaf", "rep", "v"])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.join(cuts, "leaf").select("leaf", "rep", "v", "d", "cut").mapInArrow(run, f"leaf string, rep {types['rep']}, v {types['v']}")
+    return rows.join(trees, "leaf").select("leaf", "rep", "v", "tree").mapInArrow(run, f"leaf string, rep {types['rep']}, v {types['v']}")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
