@@ -180,6 +180,57 @@ def test_prevalence_raises_labels(spark, rules):
     assert {r.label for r in mix} == {"normal", "layering"}
 
 
+def test_transport_is_failure_dominated(spark):
+    world, e = run(spark, model.load("transport"), nodes=1500, edges=30_000, days=30, prevalence=0.2)
+    shares = world.type_shares()
+    assert sum(shares.values()) == pytest.approx(1) and sum(shares[f["intent"]] for f in world.rules["failures"]) > 0.8
+    labels = {r.label for r in e.select("label").distinct().collect()}
+    assert "sensor_dropout" not in labels and len(labels) > 3
+
+
+def test_counted_stages_do_not_follow_the_budget(spark, rules):
+    other = model.loads(model.dumps(rules))
+    stage = other["adversaries"][0]["stages"][0]
+    del stage["activity_multiplier"]
+    stage["event_count"] = model.Tagged("constant", {"value": 6.0})
+    assert model.validate(other) == []
+    worlds = [simulate.World(spark, other, simulate.Config(nodes=500, edges=n, days=10, difficulty=0.0)) for n in (5000, 20_000)]
+    a = other["adversaries"][0]
+    counted = [w._stage_rate(a, a["stages"][0]) for w in worlds]
+    scaled = [w._stage_rate(a, a["stages"][1]) for w in worlds]
+    assert counted[0] == pytest.approx(counted[1]) and scaled[1] == pytest.approx(4 * scaled[0], rel=1e-6)
+
+
+def test_parsers():
+    import io
+    import zipfile
+
+    from chronoloom.sources import documents as D
+
+    z = io.BytesIO()
+    with zipfile.ZipFile(z, "w") as f:
+        f.writestr("a.html", "<p>One &amp; two<script>x</script><p>three")
+        f.writestr("b.csv", "k,v\n1,2\n")
+    assert dict(D.parse("t.zip", z.getvalue())) == {"t.zip!a.html": "One & two\nthree", "t.zip!b.csv": "k, v\n1, 2"}
+    assert dict(D.parse("x.json", b'{"a": {"b": [1, null, "z"]}}')) == {"x.json": "a.b[0]: 1\na.b[2]: z"}
+    bundle = b'{"type": "bundle", "objects": [{"type": "attack-pattern", "name": "N", "description": "D", "external_references": [{"source_name": "mitre-attack", "external_id": "T1"}]}, {"type": "attack-pattern", "revoked": true}, {"type": "malware"}]}'
+    assert dict(D.parse("s.json", bundle)) == {"s.json": "T1 N\nD"}
+    nvd = b'{"vulnerabilities": [{"cve": {"id": "CVE-1", "descriptions": [{"lang": "en", "value": "bad"}], "metrics": {"cvssMetricV2": [{"cvssData": {"baseScore": 5.0}}], "cvssMetricV31": [{"cvssData": {"baseScore": 9.1}}]}}}]}'
+    assert dict(D.parse("n.json", nvd)) == {"n.json": "CVE-1 (score 9.1): bad"}
+    assert dict(D.parse("x.xml", b"<?xml version='1.0'?><a>p<!-- c --><b>q</b></a>")) == {"x.xml": "p\nq"}
+
+
+def test_files_and_eligible_sources(spark, tmp_path):
+    from chronoloom.sources import documents as D
+
+    (tmp_path / "a.md").write_text("# T  x\r\n\r\n\r\n\r\nbody")
+    (tmp_path / "b.json").write_text("{broken")
+    out = {r.name: r for r in D.read_files(spark, str(tmp_path)).collect()}
+    assert out["a.md"].text == "# T x\n\nbody" and out["b.json"].error and out["b.json"].text is None
+    m = D.manifest(spark, [{"id": "1", "domain": "d", "format": "html", "tier": "A"}, {"id": "2", "domain": "d", "format": "pdf", "tier": "C"}, {"id": "3", "domain": "e", "format": "csv", "tier": "B", "fetch": False}])
+    assert [r.id for r in D.eligible(m).collect()] == ["1"]
+
+
 def test_failures(spark, rules):
     broken = model.loads(model.dumps(rules))
     broken["adversaries"] = []
