@@ -289,7 +289,7 @@ class _Checker:
                 self.need(isinstance(s.get("scope"), Tagged), f"{at}.scope", "needs a scope")
             for o in s.get("attr_overrides") or []:
                 kind = attr(s["event"], o.get("attr"))
-                self.need(isinstance(kind, Tagged) and kind.tag == "numeric", f"{at}.attr_overrides", f"{o.get('attr')}: no such numeric attribute")
+                self.need(isinstance(kind, Tagged), f"{at}.attr_overrides", f"{o.get('attr')}: no such attribute")
                 self.dist(o.get("dist"), f"{at}.attr_overrides.{o.get('attr')}")
 
     def control(self, c, intents) -> None:

@@ -188,6 +188,14 @@ def test_transport_is_failure_dominated(spark):
     assert "sensor_dropout" not in labels and len(labels) > 3
 
 
+def test_tiers_can_be_overridden_and_counted(spark):
+    world, e = run(spark, model.load("ecommerce"), nodes=1500, edges=8000, days=20, prevalence=0.2, difficulty=0.0)
+    by = {r.label: r for r in e.where("event_type = 'WROTE_REVIEW'").groupBy("label").agg(F.count("*").alias("n"), F.avg((F.col("star") == "5").cast("int")).alias("five")).collect()}
+    assert by["normal"].five < 0.8 and by["collusion_ring"].five > 0.95 and by["collusion_ring"].n > 5
+    assert e.where("star is not null and star not in ('1', '2', '3', '4', '5')").count() == 0
+    assert world.final_state(e).where("var = 'cum_rating' and value > 0").count() > 0
+
+
 def test_counted_stages_do_not_follow_the_budget(spark, rules):
     other = model.loads(model.dumps(rules))
     stage = other["adversaries"][0]["stages"][0]
