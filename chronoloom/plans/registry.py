@@ -6,6 +6,8 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoloom.session import shipping
+
 FAMILIES = ["stats_queries", "check_queries", "topology_queries", "relational_queries", "link_queries", "retrieval_queries", "sink_queries", "simulate_queries", "grounding_queries"]
 
 
@@ -20,7 +22,7 @@ def entries() -> dict:
 
 
 def queries() -> dict:
-    return {name: run for name, (run, _) in entries().items()}
+    return {name: shipping(run) for name, (run, _) in entries().items()}
 
 
 def oracle_sql() -> dict:

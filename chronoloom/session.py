@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +41,32 @@ def cut(df: DataFrame) -> DataFrame:
     """df from a checkpoint in the shared folder: its lineage ends there, and it outlives executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each application: functions are pickled by reference, and the
+    executors' own path needn't have it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="chronoloom-")).resolve() / "chronoloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+def shipping(run):
+    """run(spark, ...) with the package shipped first."""
+
+    @functools.wraps(run)
+    def shipped(spark, *args, **kwargs):
+        ship(spark)
+        return run(spark, *args, **kwargs)
+
+    return shipped
