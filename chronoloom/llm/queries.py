@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chronoloom.llm import bm25_decon, ctx_mix_lm, curriculum_mix, html_wrapper, langid_ecoc, line_align, minhash_bbit, quality_pu, rp_forest, warc_segments
 from chronoloom.llm.common import table
+from chronoloom.session import shipping
 
 
 def op1_quality_pu(spark, sf_dir):
@@ -47,7 +48,7 @@ def op10_ctx_mix_lm(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: shipping(f) for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict:
