@@ -11,24 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chronoloom.llm import bm25_decon, curriculum_mix, line_align, minhash_bbit, quality_pu
 from chronoloom.llm.common import materialize, table
+from chronoloom.session import shipping
 
 
+@shipping
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_pu.quality_stage(docs, table(spark, sf_dir, "labels"))
 
 
+@shipping
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_align.line_dedup_stage(docs)
 
 
+@shipping
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash_bbit.near_dedup_stage(docs)
 
 
+@shipping
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bm25_decon.decon_stage(docs, table(spark, sf_dir, "benchmark"))
 
 
+@shipping
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return curriculum_mix.mix_stage(docs)
 
