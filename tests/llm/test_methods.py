@@ -426,6 +426,30 @@ def test_base_scores_are_exact(spark):
         assert r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
 
 
+def test_tables_grow_with_the_counted_bits(spark):
+    limit = ctx_mix_lm.TABLE_BITS
+    assert ctx_mix_lm.grown(ctx_mix_lm.WORD_TABLES, limit) == ctx_mix_lm.WORD_TABLES
+    assert sum(1 << s for s in ctx_mix_lm.grown(ctx_mix_lm.WORD_TABLES, 64 * limit)) > 60 * sum(1 << s for s in ctx_mix_lm.WORD_TABLES)
+    model = ctx_mix_lm.BitModel(np.ones(40), ctx_mix_lm.WORD_TABLES)
+    rng = np.random.default_rng(15)
+    tables = [model.new_counts() for _ in range(2)]
+    for table, n in zip(tables, (300, 400_000), strict=True):  # few cells, and all
+        np.add.at(table.reshape(-1), rng.integers(0, table.size, n), 1)
+        table[-1] = n
+    rows = [tuple(r.values()) for t in tables for b in ctx_mix_lm._table_rows(t) for r in b.to_pylist()]
+    ctx_mix_lm._gather(spark.createDataFrame(rows, ctx_mix_lm._TABLE), model)
+    assert (np.stack([model.n0, model.n1], 1) == tables[0] + tables[1]).all()
+
+
+def test_weights_are_learned_from_long_texts(spark, monkeypatch):
+    seen = []
+    learn = ctx_mix_lm.BitModel.learn
+    monkeypatch.setattr(ctx_mix_lm.BitModel, "learn", lambda self, symbols, *a, **k: (seen.append(len(symbols)), learn(self, symbols, *a, **k))[1])
+    docs = spark.createDataFrame([(i, "some words of a long text " * 2000) for i in range(4)], "doc_id bigint, text string")
+    ctx_mix_lm.fit(docs, ctx_mix_lm.token_counts(docs))
+    assert max(seen) > 12_000
+
+
 # all --------------------------------------------------------------------------------------------------------------
 
 
