@@ -1,12 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by a hash of their trimmed, lower-cased text. For each line that several documents have, the one
-with the least doc_id owns it; every other document that has it makes a pair with the owner. A line shared by few
-documents and one shared by a third of them are treated alike, one pair a document and owner, so pairs grow with the
-shared lines and not with the square of their groups, and no line is too frequent to count. Each pair is aligned with
-patience diff: lines that occur once on either side anchor the alignment (longest increasing sequence), the gaps are
-aligned in turn. Blocks of successive aligned lines with at least LEAST_WORDS words are deleted from the later document.
-As the owner is the first document with a line, some document always keeps it.
+Lines are compared by a hash of their trimmed, lower-cased text; blank lines are passed over. A run is the shortest
+sequence of successive lines, from any line on or up to any line, with at least LEAST_WORDS words; the runs within a block
+of that many words that two documents share cover it. For each run that several documents have, the one with the least
+doc_id owns it; every other document that has it makes a pair with the owner. So whatever a document shares with any
+earlier one, it shares with the owners that it is paired with; pairs grow with the shared runs and not with the square of
+their groups, and no line is too frequent or too short to count. Each pair is aligned with patience diff: lines that occur
+once on either side anchor the alignment (longest increasing sequence), the gaps are aligned in turn. What is left, as it
+crosses that alignment, is aligned run by run until no common block remains. Blocks of successive aligned lines with at
+least LEAST_WORDS words are deleted from the later document. Documents are compared as they came, so the first document
+with a run always keeps it, but for lines that are in a run of a yet earlier one.
 
 Only line hashes and word counts travel; texts are read once for hashing and once for the deletions.
 
@@ -20,7 +23,9 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,21 +90,59 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(words: list[int], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """Begin and end of the runs from and up to each line, by the lines' numbers of words; no line is blank."""
+    out, end, size = [], 0, 0
+    for k in range(len(words)):
+        while size < least_words and end < len(words):
+            size += words[end]
+            end += 1
+        if size < least_words:
+            break
+        out.append((k, end))
+        size -= words[k]
+    begin = size = 0
+    for end in range(1, len(words) + 1):
+        size += words[end - 1]
+        while size - words[begin] >= least_words:
+            size -= words[begin]
+            begin += 1
+        if size >= least_words:
+            out.append((begin, end))
+    return sorted(set(out))
+
+
+def run_hashes(lines: list[int], words: list[int], least_words: int = LEAST_WORDS) -> set[int]:
+    """Of a text's lines (hash 0 is a blank line): a line's own hash where it is a run by itself."""
+    at = [i for i, h in enumerate(lines) if h]
+    a = [lines[i] for i in at]
+    packed = np.array(a, np.int64).tobytes()
+    found = runs([words[i] for i in at], least_words)
+    return {a[k] if end == k + 1 else xxhash.xxh64_intdigest(packed[8 * k : 8 * end]) - (1 << 63) for k, end in found}
+
+
 def common_lines(later: list[int], words: list[int], owner: list[int], least_words: int = LEAST_WORDS) -> list[int]:
     """Indices of the lines of the later document in aligned blocks of at least least_words words. Hash 0 is a blank line."""
     at_a = [i for i, h in enumerate(later) if h]
-    b = [h for h in owner if h]
-    out, block, size, last = [], [], 0, (-2, -2)
-    for i, j in [*patience([later[i] for i in at_a], b), (-9, -9)]:
+    a, b = [later[i] for i in at_a], [h for h in owner if h]
+    gone: set[int] = set()
+    block, size, last = [], 0, (-2, -2)
+    for i, j in [*patience(a, b), (-9, -9)]:
         if (i - 1, j - 1) != last:
             if size >= least_words:
-                out += block
+                gone.update(block)
             block, size = [], 0
         if i >= 0:
-            block.append(at_a[i])
+            block.append(i)
             size += words[at_a[i]]
         last = (i, j)
-    return out
+    # runs that cross the alignment
+    left = [(k, end) for k, end in runs([words[i] for i in at_a], least_words) if not gone.issuperset(range(k, end))]
+    owned = {n: {tuple(b[j : j + n]) for j in range(len(b) - n + 1)} for n in {end - k for k, end in left}}
+    for k, end in left:
+        if tuple(a[k:end]) in owned[end - k]:
+            gone.update(range(k, end))
+    return [at_a[k] for k in sorted(gone)]
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -115,14 +158,22 @@ def line_table(docs: DataFrame) -> DataFrame:
 def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """d_id, d_th, gone (sorted line numbers) for each document that loses lines; a written table."""
     table = materialize(line_table(docs), "la-lines")
-    lines = table.select("doc_id", "th", F.explode(F.array_distinct("hs")).alias("h")).where("h <> 0")
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def hashes(batches):
+        for b in batches:
+            found = [list(run_hashes(hs, ws, least_words)) for hs, ws in zip(b.column("hs").to_pylist(), b.column("ws").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "th", "found"])
+
+    found = table.select("doc_id", "th", "hs", "ws").mapInArrow(hashes, f"doc_id {doc_type}, th bigint, found array<bigint>")
+    found = materialize(found, "la-runs")
+    lines = found.select("doc_id", "th", F.explode("found").alias("h"))
     owners = lines.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top")
     owners = materialize(owners.select("h", "owner"), "la-owners")
     pairs = lines.join(owners, "h").where("doc_id > owner").select("doc_id", "th", "owner").distinct()
     pairs = materialize(pairs, "la-pairs")
     distinct = table.dropDuplicates(["doc_id", "th"])
     both = pairs.join(distinct.select(F.col("doc_id").alias("owner"), F.col("hs").alias("owned")), "owner").join(distinct, ["doc_id", "th"])
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
@@ -131,7 +182,7 @@ def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
     aligned = both.select("doc_id", "th", "hs", "ws", "owned").mapInArrow(run, f"d_id {doc_type}, d_th bigint, gone array<int>").where("size(gone) > 0")
     out = materialize(aligned.groupBy("d_id", "d_th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "la-gone")
-    discard(table, owners, pairs)
+    discard(table, found, owners, pairs)
     return out
 
 

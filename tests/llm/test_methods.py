@@ -209,6 +209,35 @@ def test_a_shared_passage_in_many_documents(spark):
     assert passage in out[0] and not any(passage in out[i] for i in range(1, 300)) and out[9] == "start 9 of this text here\nend 9 of this text here"
 
 
+def test_permuted_and_short_lines_against_all_pairs(spark):
+    """Every document against every earlier one: no run of five words that an earlier one has is left, and nothing else goes."""
+    rng = random.Random(8)
+    a, b = "a1 a2 a3 a4 a5", "b1 b2 b3 b4 b5"
+    docs = [(1, f"{a}\n{b}"), (2, f"{b}\n{a}"), (3, f"{b}\n{a}")]
+    docs += [(10 + k, f"s{k} t{k}\nfiller {k}") for k in range(4)]  # each owns a line of the block in 25 and 29
+    docs += [(i, f"own{i} x\n" + "\n".join(f"s{k} t{k}" for k in range(4)) + f"\nend{i}") for i in (25, 29)]
+    pool = [" ".join(words(rng, rng.randrange(1, 8))) for _ in range(60)]
+    for i in range(30, 90):
+        picked = [x for _ in range(3) for k in [rng.randrange(57)] for x in pool[k : k + 3]]
+        rng.random() < 0.4 and rng.shuffle(picked)
+        picked.insert(rng.randrange(len(picked)), "")
+        docs.append((i, "\n".join([*picked, f"only {i}"])))
+    want, earlier = {}, set()
+    for i, text in docs:
+        lines = [k for k, x in enumerate(text.split("\n")) if x]
+        split, gone, mine = text.split("\n"), set(), set()
+        for p in range(len(lines)):
+            for q in range(p + 1, len(lines) + 1):
+                block = tuple(split[k] for k in lines[p:q])
+                if sum(len(x.split()) for x in block) >= 5:
+                    mine.add(block)
+                    gone |= set(lines[p:q]) if block in earlier else set()
+        earlier |= mine
+        want[i] = "\n".join(x for k, x in enumerate(split) if k not in gone)
+    out = {r.doc_id: r.text for r in line_align.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)).collect()}
+    assert out == want and out[3] == "" and out[29] == "own29 x\nend29"
+
+
 # 6 MinHash --------------------------------------------------------------------------------------------------------
 
 
