@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction.
 
 For each host a few pages with different html are aligned by simple tree matching (Yang 1991): the largest ordered
-match of two DOM trees whose roots have equal labels. Runs of equal siblings count as one repeated node. A node whose
+match of two DOM trees whose roots have equal labels; siblings with the same text are matched first. A node whose
 aligned partners have equal text in all the host's sampled pages is template; the others are slots. Each page is then
 aligned with its host's template, aligned nodes with the template's text are dropped, and of the slots the article is
 kept: what stands in article or main elements if there are any, without menus, headers, footers, sidebars, notices,
@@ -25,12 +25,14 @@ import html as htmllib
 import json
 import re
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import discard, materialize
+from chronoloom.llm.line_align import _increasing
 
 #: Pages of a host that its template is made from, and the least number that makes a node template.
 PAGES, LEAST_PAGES = 8, 4
@@ -55,10 +57,10 @@ _ATTR = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden)\s*(?:=
 
 
 class Node:
-    __slots__ = ("children", "label", "skip", "tag")
+    __slots__ = ("children", "label", "mark", "skip", "tag")
 
     def __init__(self, tag: str, label: str, skip: bool):
-        self.tag, self.label, self.skip, self.children = tag, label, skip, []
+        self.tag, self.label, self.skip, self.children, self.mark = tag, label, skip, [], 0
 
 
 @functools.lru_cache(maxsize=20_000)
@@ -78,9 +80,16 @@ def _kind(tag: str, attrs: str) -> tuple[str, bool]:
 
 
 def parse(text: str) -> Node:
-    """A DOM tree of Nodes and strings (decoded text)."""
+    """A DOM tree of Nodes and strings (decoded text), with marks."""
     root = Node("#", "#", False)
     stack, at, n = [root], 0, len(text)
+    made, opened = [root], Counter()
+
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x.tag] -= 1
+        del stack[k:]
+
     search = _TOKEN.search
     while at < n:
         m = search(text, at)
@@ -96,34 +105,35 @@ def parse(text: str) -> Node:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in () if not opened[tag] else range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in ("article", "main", "body", "td", "th", "table") and tag in INLINE | {"p", "li"}:
                     break
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in () if not opened["p"] else range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in SCOPES or stack[k].tag in CLOSES_P:
                     break
         elif tag in LIST_CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in () if not any(opened[x] for x in LIST_CLOSES[tag]) else range(len(stack) - 1, 0, -1):
                 if stack[k].tag in LIST_CLOSES[tag]:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k].tag in LIST_BOUNDS and not (tag == "tr" and stack[k].tag in ("td", "th")):
                     break
         elif tag == "body":
             for k in range(1, len(stack)):
                 if stack[k].tag == "head":
-                    del stack[k:]
+                    cut(k)
                     break
         node = Node(tag, *_kind(tag, attrs))
         stack[-1].children.append(node)
+        made.append(node)
         if tag in RAW:
             stop = re.compile(rf"(?i)</{tag}(?=[\s/>])[^>]*>?|\Z").search(text, at) if tag != "plaintext" else None
             node.children.append(text[at : stop.start()])
@@ -131,22 +141,38 @@ def parse(text: str) -> Node:
         elif tag not in VOID and not attrs.endswith("/"):
             if len(stack) < DEPTH:
                 stack.append(node)
+                opened[tag] += 1
+    for node in reversed(made):  # children come after their parents
+        node.mark = _mark(node)
     return root
 
 
+def _mark(node: Node) -> int:
+    """Hash of the text that is kept below node, from its children's marks; 0 if there is none."""
+    parts = []
+    for c in node.children:
+        if isinstance(c, str):
+            parts += c.split()
+        elif not c.skip and c.mark:
+            parts.append(str(c.mark))
+    return (zlib.crc32(" ".join(parts).encode("utf-8", "replace")) or 1) if parts else 0
+
+
 def pieces(node, out: list, drop: frozenset = frozenset()) -> None:
     """Text pieces below node in order; " " stands where a block begins or ends. drop: nodes (by id) that are left out."""
-    for c in node.children:
+    todo = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
         if isinstance(c, str):
             out.append(c)
         elif c.tag in INLINE and not c.skip:
             if id(c) not in drop:
-                pieces(c, out, drop)
+                todo.extend(reversed(c.children))
         else:
             out.append(" ")
             if not c.skip and id(c) not in drop:
-                pieces(c, out, drop)
-                out.append(" ")
+                todo.append(" ")
+                todo.extend(reversed(c.children))
 
 
 def text_of(nodes: list, drop: frozenset = frozenset()) -> str:
@@ -157,50 +183,119 @@ def text_of(nodes: list, drop: frozenset = frozenset()) -> str:
     return " ".join("".join(out).split())
 
 
-def shape(node: Node) -> list:
-    """The tree that is aligned: [label, nodes, children's shapes], runs of equal siblings as one; inline and left-out elements don't count."""
-    runs: list[list] = []
-    for c in node.children:
-        if isinstance(c, str) or c.tag in INLINE or c.tag in VOID or c.tag in SKIPPED:
-            continue
-        if runs and runs[-1][0] == c.label:
-            runs[-1][1].append(c)
-        else:
-            runs.append([c.label, [c]])
-    return [node.label, [node], [shape(r[1][0]) if len(r[1]) == 1 else [r[0] + " +", r[1], []] for r in runs]]
+def shape(node: Node, depth: int = 0, inside: bool = False) -> list:
+    """The tree that is aligned: [label, nodes, children's shapes, mark, hash of the labels, size]; inline and left-out elements don't count.
 
+    Successive paragraphs of an article or main element are its running text: they are aligned, but have no mark of their own."""
+    inside = inside or node.tag in ("article", "main")
+    kids = []
+    if depth < DEPTH:
+        for c in node.children:
+            if not (isinstance(c, str) or c.tag in INLINE or c.tag in VOID or c.tag in SKIPPED):
+                kids.append(shape(c, depth + 1, inside))
+                if inside and c.tag == "p" and len(kids) > 1 and kids[-2][0] == kids[-1][0]:
+                    kids[-2][3] = kids[-1][3] = 0
+    return _with_hashes([node.label, [node], kids, node.mark])
 
-def _mark(nodes: list) -> int:
-    return zlib.crc32(text_of(nodes).encode("utf-8", "replace"))
 
+def _with_hashes(s: list) -> list:
+    return [*s, hash((s[0], *(c[4] for c in s[2]))), 1 + sum(c[5] for c in s[2])]
 
-def match(a: list, b: list, pairs: list | None = None) -> int:
-    """Simple tree matching of two shapes: the size of the largest match; with pairs, also the matched nodes."""
-    if a[0] != b[0]:
-        return 0
-    x, y = a[2], b[2]
+
+def _same(p: list, q: list) -> bool:
+    return len(p) > 4 and len(q) > 4 and p[4] == q[4]
+
+
+def _ends(x: list, y: list) -> tuple[int, int]:
+    """How many children at the begin, and then at the end, have equal trees of labels: to match those is always best."""
+    most, i = min(len(x), len(y)), 0
+    while i < most and _same(x[i], y[i]):
+        i += 1
+    j = 0
+    while j < most - i and _same(x[-1 - j], y[-1 - j]):
+        j += 1
+    return i, j
+
+
+def _table(x: list, y: list, known: dict) -> tuple[list, dict]:
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     own = {}
     for i, p in enumerate(x, 1):
+        row, above = best[i], best[i - 1]
         for j, q in enumerate(y, 1):
-            w = own[i, j] = match(p, q) if p[0] == q[0] else 0
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    if pairs is not None:
+            w = own[i, j] = _size(p, q, known) if p[0] == q[0] else 0
+            row[j] = max(above[j], row[j - 1], above[j - 1] + w)
+    return best, own
+
+
+def _size(a: list, b: list, known: dict) -> int:
+    """Simple tree matching: the size of the largest match. known: sizes by hashes of the labels, so equal subtrees are matched once."""
+    if a[0] != b[0]:
+        return 0
+    if _same(a, b):
+        return a[5]
+    key = (a[4], b[4]) if len(a) > 4 and len(b) > 4 else None
+    if key in known:
+        return known[key]
+    x, y = a[2], b[2]
+    i, j = _ends(x, y)
+    size = 1 + sum(c[5] for c in x[:i] + x[len(x) - j :]) + _table(x[i : len(x) - j], y[i : len(y) - j], known)[0][-1][-1]
+    if key:
+        known[key] = size
+    return size
+
+
+def _anchors(x: list, y: list) -> list[tuple[int, int]]:
+    """Children with equal label and text that occur once on either side, in an order that both have."""
+    sides = []
+    for z in (x, y):
+        at: dict = {}
+        for k, c in enumerate(z):
+            if len(c) > 3 and c[3]:
+                at.setdefault((c[0], c[3]), []).append(k)
+        sides.append({m: ks[0] for m, ks in at.items() if len(ks) == 1})
+    return _increasing([(k, sides[1][m]) for m, k in sides[0].items() if m in sides[1]])
+
+
+def _align(a: list, b: list, pairs: list, known: dict) -> None:
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
         pairs.append((a, b))
-        i, j = len(x), len(y)
-        while i and j:
-            if own[i, j] and best[i][j] == best[i - 1][j - 1] + own[i, j]:
-                match(x[i - 1], y[j - 1], pairs)
-                i, j = i - 1, j - 1
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return best[-1][-1] + 1
+        x, y, i0, j0 = a[2], b[2], 0, 0
+        for i1, j1 in [*_anchors(x, y), (len(x), len(y))]:
+            u, v = x[i0:i1], y[j0:j1]
+            if i1 < len(x):
+                todo.append((x[i1], y[j1]))
+            i0, j0 = i1 + 1, j1 + 1
+            head, tail = _ends(u, v)
+            todo += list(zip(u[:head], v[:head], strict=True)) + list(zip(u[len(u) - tail :], v[len(v) - tail :], strict=True))
+            u, v = u[head : len(u) - tail], v[head : len(v) - tail]
+            best, own = _table(u, v, known)
+            i, j = len(u), len(v)
+            while i and j:
+                if own[i, j] and best[i][j] == best[i - 1][j - 1] + own[i, j]:
+                    todo.append((u[i - 1], v[j - 1]))
+                    i, j = i - 1, j - 1
+                elif best[i][j] == best[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+
+
+def match(a: list, b: list, pairs: list | None = None) -> int:
+    """Simple tree matching of two shapes: the size of the largest match; with pairs, also nodes matched.
+
+    For pairs, children whose text is the same are matched first, and a largest match is made between them."""
+    known: dict = {}
+    size = _size(a, b, known)
+    if pairs is not None and size:
+        _align(a, b, pairs, known)
+    return size
 
 
 def induce(pages: list[str]) -> list | None:
-    """A host's template from its sampled pages: [label, crc of the text if it is constant, children]; None under LEAST_PAGES."""
+    """A host's template from its sampled pages: [label, mark of the text if it is constant, children]; None under LEAST_PAGES."""
     if len(pages) < LEAST_PAGES:
         return None
     first, *others = sorted((shape(parse(p)) for p in pages), key=lambda s: len(json.dumps(_labels(s))))
@@ -209,12 +304,11 @@ def induce(pages: list[str]) -> list | None:
         found: list = []
         match(first, other, found)
         for a, b in found:
-            if _mark(a[1]) == _mark(b[1]):
+            if a[3] == b[3]:
                 same[id(a)] = same.get(id(a), 0) + 1
 
     def build(s):
-        text = text_of(s[1])
-        return [s[0], zlib.crc32(text.encode("utf-8", "replace")) if text and same.get(id(s)) == len(others) else None, [build(c) for c in s[2]]]
+        return [s[0], s[3] if s[3] and same.get(id(s)) == len(others) else None, [build(c) for c in s[2]]]
 
     return build(first)
 
@@ -226,7 +320,7 @@ def _labels(s: list) -> list:
 @functools.lru_cache(maxsize=512)
 def _loaded(template: str) -> list:
     def build(t):
-        return [t[0], t[1], [build(c) for c in t[2]]]
+        return _with_hashes([t[0], t[1], [build(c) for c in t[2]], t[1]])
 
     return build(json.loads(template))
 
@@ -241,7 +335,7 @@ def extract(html: str | None, template: str | None = None) -> str:
         found: list = []
         match(_loaded(template), shape(root), found)
         for t, s in found:
-            if t[1] is not None and t[1] == _mark(s[1]):
+            if t[1] is not None and t[1] == s[3]:
                 drop.update(id(n) for n in s[1])
     regions, todo = [], [root]
     while todo:

@@ -114,6 +114,18 @@ def test_small_pages(html, want):
     assert html_wrapper.extract(html) == want
 
 
+def test_divs_without_classes_are_aligned():
+    import json
+
+    def page(k, n, body=""):
+        paragraphs = [f"<p>text {k} {i}</p>" for i in range(n)]
+        paragraphs.insert(k % (n + 1), "<p>Subscribe to our letter</p>")
+        return f"<html><body><div>Home Shop Contact</div><div id=a{k}>{body}{''.join(paragraphs)}</div><div>All rights reserved</div></body></html>"
+
+    template = json.dumps(html_wrapper.induce([page(k, k + 1) for k in range(6)]))
+    assert html_wrapper.extract(page(9, 3), template) == "text 9 0 text 9 1 text 9 2"
+
+
 # 4 WARC -----------------------------------------------------------------------------------------------------------
 
 
