@@ -4,7 +4,7 @@ For each host a few pages with different html are aligned by simple tree matchin
 match of two DOM trees whose roots have equal labels; siblings with the same text are matched first. A node whose
 aligned partners have equal text in all the host's sampled pages is template; the others are slots. Each page is then
 aligned with its host's template, aligned nodes with the template's text are dropped, and of the slots the article is
-kept: what stands in article or main elements if there are any, without menus, headers, footers, sidebars, notices,
+kept: what stands in article or main elements, in page order, if there are any, without menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments, which are known by element, role, class or id.
 
 The sample is bounded: PAGES pages for each host, those that own a hash slot. The templates are joined to the pages by
@@ -340,25 +340,19 @@ def extract(html: str | None, template: str | None = None) -> str:
     regions, todo = [], [root]
     while todo:
         node = todo.pop()
-        for c in reversed([c for c in node.children if not isinstance(c, str)]):
-            if not c.skip and not (c.tag == "header" and node.tag in ("#", "html", "body")):
-                todo.append(c)
-            elif c.tag == "header":
-                c.skip = True
         if node.tag in ("article", "main"):
             regions.append(node)
-            del todo[len(todo) - sum(1 for c in node.children if not isinstance(c, str) and not c.skip) :]
-    if regions:
-        articles = [a for r in regions if r.tag == "main" for a in _articles(r)] or regions
-        regions = [max(articles, key=lambda r: len(text_of([r])))] if len(articles) > 1 else articles
+            continue
+        for c in reversed([c for c in node.children if not isinstance(c, str)]):
+            if c.tag == "header" and node.tag in ("#", "html", "body"):
+                c.skip = True
+            elif not c.skip:
+                todo.append(c)
+    if drop.issuperset(id(r) for r in regions):  # a host with one article on all its pages
         drop -= {id(r) for r in regions}
     return text_of(regions or [root], frozenset(drop))
 
 
-def _articles(node: Node) -> list:
-    return [x for c in node.children if not isinstance(c, str) and not c.skip for x in ([c] if c.tag == "article" else _articles(c))]
-
-
 def host_of(url):
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 

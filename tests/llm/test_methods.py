@@ -126,6 +126,11 @@ def test_divs_without_classes_are_aligned():
     assert html_wrapper.extract(page(9, 3), template) == "text 9 0 text 9 1 text 9 2"
 
 
+def test_all_articles_and_what_stands_around_them_in_main():
+    assert html_wrapper.extract("<div>menu</div><article>first</article><article>the second</article><aside>x</aside>") == "first the second"
+    assert html_wrapper.extract("<main><h1>T</h1><p>lead</p><article>body</article></main><div>x</div><article>more</article>") == "T lead body more"
+
+
 # 4 WARC -----------------------------------------------------------------------------------------------------------
 
 
