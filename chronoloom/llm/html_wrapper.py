@@ -14,7 +14,7 @@ Text: character references are decoded, white space (as Unicode has it) within a
 trimmed and joined by one space.
 
 Defined cases: null or empty html gives empty text; a page without a host (or url) is extracted without a template;
-a tag cut off by the end of the page is ignored; elements nested deeper than DEPTH are read as children of that depth;
+a tag cut off by the end of the page is ignored; elements nested to any depth are read, and aligned down to DEPTH;
 repeated rows are extracted each; other columns aren't read.
 """
 
@@ -36,7 +36,7 @@ from chronoloom.llm.line_align import _increasing
 
 #: Pages of a host that its template is made from, and the least number that makes a node template.
 PAGES, LEAST_PAGES = 8, 4
-#: Nesting that is kept.
+#: Nesting that is aligned; deeper elements are compared as a part of the one at that depth.
 DEPTH = 150
 
 # Element names by their treatment in HTML.
@@ -139,9 +139,8 @@ def parse(text: str) -> Node:
             node.children.append(text[at : stop.start()])
             at = stop.end()
         elif tag not in VOID and not attrs.endswith("/"):
-            if len(stack) < DEPTH:
-                stack.append(node)
-                opened[tag] += 1
+            stack.append(node)
+            opened[tag] += 1
     for node in reversed(made):  # children come after their parents
         node.mark = _mark(node)
     return root

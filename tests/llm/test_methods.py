@@ -131,6 +131,13 @@ def test_all_articles_and_what_stands_around_them_in_main():
     assert html_wrapper.extract("<main><h1>T</h1><p>lead</p><article>body</article></main><div>x</div><article>more</article>") == "T lead body more"
 
 
+def test_elements_at_any_depth():
+    deep = lambda x, n: "<div>" * n + x + "</div>" * n
+    page = "<body><div><article>" + deep("one<div class=ad>no</div>two", 160) + "three</article></div>out</body>"
+    assert html_wrapper.extract(page) == "one two three"
+    assert html_wrapper.extract("<body><article>" + deep("x", 20_000) + "y</article>z</body>") == "x y"
+
+
 # 4 WARC -----------------------------------------------------------------------------------------------------------
 
 
