@@ -1,14 +1,17 @@
 """Main text of web pages by wrapper induction.
 
-For each host a few pages with different html are aligned by simple tree matching (Yang 1991): the largest ordered
-match of two DOM trees whose roots have equal labels; siblings with the same text are matched first. A node whose
-aligned partners have equal text in all the host's sampled pages is template; the others are slots. Each page is then
-aligned with its host's template, aligned nodes with the template's text are dropped, and of the slots the article is
-kept: what stands in article or main elements, in page order, if there are any, without menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments, which are known by element, role, class or id.
-
-The sample is bounded: PAGES pages for each host, those that own a hash slot. The templates are joined to the pages by
-host; Spark broadcasts them only where the written table is under its threshold, and splits a hot host's rows otherwise.
+Pages of a host that have the same kinds of elements at the top of their body are of one layout. For each layout a few
+pages with different html are aligned by simple tree matching (Yang 1991): the largest ordered match of two DOM trees
+whose roots have equal labels; siblings with the same text are matched first. That gives a skeleton. Every page of the
+layout is then aligned with it, and a node is template if it has equal text in all pages in which it occurs, and occurs
+in LEAST_PAGES different ones; the others are slots. Each page is aligned with its template, aligned nodes with the
+template's text are dropped, and of the slots the article is kept: what stands in article or main elements, in page
+order, if there are any, without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+comments, which are known by element, role, class or id.
+
+Only the skeleton comes from a sample: PAGES pages for each layout, those that own a hash slot. What tasks found about its
+nodes is summed by layout and node. Skeletons and templates are joined to the pages by host and layout; Spark broadcasts
+them only where the written table is under its threshold, and splits a hot host's rows otherwise.
 
 Text: character references are decoded, white space (as Unicode has it) within a block becomes one space, blocks are
 trimmed and joined by one space.
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import functools
 import html as htmllib
+import itertools
 import json
 import re
 import zlib
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from chronoloom.llm.common import discard, materialize
 from chronoloom.llm.line_align import _increasing
 
-#: Pages of a host that its template is made from, and the least number that makes a node template.
+#: Pages of a layout that its skeleton is made from, and in how many different pages a node of a template occurs at least.
 PAGES, LEAST_PAGES = 8, 4
 #: Nesting that is aligned; deeper elements are compared as a part of the one at that depth.
 DEPTH = 150
@@ -293,33 +297,70 @@ def match(a: list, b: list, pairs: list | None = None) -> int:
     return size
 
 
-def induce(pages: list[str]) -> list | None:
-    """A host's template from its sampled pages: [label, mark of the text if it is constant, children]; None under LEAST_PAGES."""
-    if len(pages) < LEAST_PAGES:
-        return None
+def layout_of(s: list) -> int:
+    """Hash of the labels at the top of the body, each once."""
+    for label in ("html", "body"):
+        s = next((c for c in s[2] if c[0].split(" ")[0] == label), s)
+    return zlib.crc32("\n".join(sorted({c[0] for c in s[2]})).encode())
+
+
+def skeleton(pages: list[str]) -> list:
+    """Of a layout's sampled pages: [label, mark of the text if no page has another there, children]."""
     first, *others = sorted((shape(parse(p)) for p in pages), key=lambda s: len(json.dumps(_labels(s))))
-    same: dict[int, int] = {}
+    differs: set[int] = set()
     for other in others:
         found: list = []
         match(first, other, found)
-        for a, b in found:
-            if a[3] == b[3]:
-                same[id(a)] = same.get(id(a), 0) + 1
+        differs.update(id(a) for a, b in found if a[3] != b[3])
 
     def build(s):
-        return [s[0], s[3] if s[3] and same.get(id(s)) == len(others) else None, [build(c) for c in s[2]]]
+        return [s[0], s[3] if s[3] and id(s) not in differs else None, [build(c) for c in s[2]]]
 
     return build(first)
 
 
+def tally(template: str, page: str, h: int, into: dict, key: tuple = ()) -> None:
+    """into: by key and node, whether its text was the same in all pages so far, and hashes of LEAST_PAGES of them at most."""
+    found: list = []
+    match(_loaded(template), shape(parse(page)), found)
+    for t, s in found:
+        if t[1] is not None:
+            seen = into.setdefault((*key, t[6]), [True, set()])
+            seen[0] = seen[0] and t[1] == s[3]
+            if len(seen[1]) < LEAST_PAGES:
+                seen[1].add(h)
+
+
+def constant(template: str, nodes: set) -> list:
+    """The skeleton with the marks of these nodes alone."""
+
+    def build(t):
+        return [t[0], t[1] if t[6] in nodes else None, [build(c) for c in t[2]]]
+
+    return build(_loaded(template))
+
+
+def induce(pages: list[str]) -> list | None:
+    """The template of pages of one layout: [label, mark of the text if it is constant, children]; None under LEAST_PAGES."""
+    if len(pages) < LEAST_PAGES:
+        return None
+    made, into = json.dumps(skeleton(pages[:PAGES])), {}
+    for p in pages:
+        tally(made, p, zlib.crc32(p.encode("utf-8", "replace")), into)
+    return constant(made, {k for (k,), (same, seen) in into.items() if same and len(seen) >= LEAST_PAGES})
+
+
 def _labels(s: list) -> list:
     return [s[0], [_labels(c) for c in s[2]]]
 
 
 @functools.lru_cache(maxsize=512)
 def _loaded(template: str) -> list:
+    number = itertools.count()
+
     def build(t):
-        return _with_hashes([t[0], t[1], [build(c) for c in t[2]], t[1]])
+        k = next(number)
+        return [*_with_hashes([t[0], t[1], [build(c) for c in t[2]], t[1]]), k]
 
     return build(json.loads(template))
 
@@ -356,26 +397,70 @@ def host_of(url):
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, template (JSON) for each host with enough different pages; a written table."""
-    own = pages.select(F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.xxhash64("html").alias("h"), "html").where("host <> '' and html <> ''")
-    slots = materialize(own.groupBy("host", F.pmod("h", F.lit(PAGES)).alias("slot")).agg(F.min("h").alias("h")).select("host", "h"), "html-slots")
-    sampled = own.join(slots, ["host", "h"]).groupBy("host", "h").agg(F.min("html").alias("html"))
+def laid_out(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host (empty: none), layout of each page; a written table."""
+    rows = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
+    page_id = rows.schema["page_id"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            layout = [layout_of(shape(parse(x))) if x and host else 0 for x, host in zip(b.column("html").to_pylist(), b.column("host").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(layout, pa.int64())], [*b.schema.names, "layout"])
+
+    return materialize(rows.mapInArrow(run, f"page_id {page_id}, url string, html string, host string, layout bigint"), "html-pages")
+
 
-    def run(key, rows):
-        found = induce(rows.column("html").to_pylist())
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "template": pa.array([json.dumps(found) if found else None], pa.string())})
+def templates(laid: DataFrame) -> DataFrame:
+    """t_host, t_layout, template (JSON) for each layout with constant nodes; a written table."""
+    own = laid.select("host", "layout", F.xxhash64("html").alias("h"), "html").where("host <> '' and html <> ''")
+    slots = materialize(own.groupBy("host", "layout", F.pmod("h", F.lit(PAGES)).alias("slot")).agg(F.min("h").alias("h")).select("host", "layout", "h"), "html-slots")
+    sampled = own.join(slots, ["host", "layout", "h"]).groupBy("host", "layout", "h").agg(F.min("html").alias("html"))
+    key_of = lambda key: [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int64())]
 
-    out = materialize(sampled.groupBy("host").applyInArrow(run, "host string, template string").where("template is not null"), "html-templates")
-    discard(slots)
+    def first(key, rows):
+        found = json.dumps(skeleton(rows.column("html").to_pylist()))
+        return pa.table([*key_of(key), pa.array([found], pa.string())], ["t_host", "t_layout", "made"])
+
+    made = materialize(sampled.groupBy("host", "layout").applyInArrow(first, "t_host string, t_layout bigint, made string"), "html-skeletons")
+
+    def count(batches):
+        into: dict = {}
+
+        def flush():
+            items = list(into.items())
+            into.clear()
+            for at in range(0, len(items), 10_000):
+                host, layout, node, same, hs = zip(*((*k, v[0], list(v[1])) for k, v in items[at : at + 10_000]), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(layout, pa.int64()), pa.array(node, pa.int32()), pa.array(same, pa.bool_()), pa.array(hs, pa.list_(pa.int64()))], ["host", "layout", "node", "same", "hs"])
+
+        for b in batches:
+            for host, layout, h, html, template in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tally(template, html, h, into, (host, layout))
+                if len(into) > 200_000:
+                    yield from flush()
+        yield from flush()
+
+    rows = own.join(made, (F.col("host") == F.col("t_host")) & (F.col("layout") == F.col("t_layout"))).select("host", "layout", "h", "html", "made")
+    counted = rows.mapInArrow(count, "host string, layout bigint, node int, same boolean, hs array<bigint>").groupBy("host", "layout", "node")
+    counted = counted.agg(F.min("same").alias("same"), F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n")).where(F.col("same") & (F.col("n") >= LEAST_PAGES))
+    nodes = counted.groupBy("host", "layout").agg(F.collect_list("node").alias("nodes"))
+    kept = made.join(nodes, (F.col("host") == F.col("t_host")) & (F.col("layout") == F.col("t_layout"))).select("t_host", "t_layout", "made", "nodes")
+
+    def finish(batches):
+        for b in batches:
+            found = [json.dumps(constant(m, set(n))) for m, n in zip(b.column("made").to_pylist(), b.column("nodes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("t_host"), b.column("t_layout"), pa.array(found, pa.string())], ["t_host", "t_layout", "template"])
+
+    out = materialize(kept.mapInArrow(finish, "t_host string, t_layout bigint, template string"), "html-templates")
+    discard(slots, made)
     return out
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each page."""
-    made = templates(pages).select(F.col("host").alias("t_host"), "template")
-    rows = pages.select("page_id", "url", "html", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
-    rows = rows.join(made, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "template")
+    laid = laid_out(pages)
+    made = templates(laid)
+    rows = laid.join(made, (F.col("host") == F.col("t_host")) & (F.col("layout") == F.col("t_layout")), "left").select("page_id", "url", "html", "template")
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches):

@@ -138,6 +138,19 @@ def test_elements_at_any_depth():
     assert html_wrapper.extract("<body><article>" + deep("x", 20_000) + "y</article>z</body>") == "x y"
 
 
+def test_template_is_constant_on_all_pages_of_a_layout(spark):
+    def page(k):
+        by = "By Staff" if k % 40 else f"By Guest {k}"
+        return f"<body><div class=top>Home Shop</div><article><div class=by>{by}</div><p>text {k}</p><div class=more>Read on</div></article></body>"
+
+    rows = [(k, f"http://big.example/{k}", page(k)) for k in range(200)]
+    rows += [(1000 + k, f"http://big.example/x{k}", f"<body><table><tr><td>other {k}</table><div class=end>The end</div></body>") for k in range(5)]
+    rows += [(2000 + k, f"http://small.example/{k}", f"<body><div class=a>Shop</div><div class=b>text {k}</div></body>") for k in range(4)]
+    out = {r.page_id: r.text for r in html_wrapper.html_digest(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    assert all(out[k] == (f"By Staff text {k}" if k % 40 else f"By Guest {k} text {k}") for k in range(200))
+    assert all(out[1000 + k] == f"other {k}" for k in range(5)) and all(out[2000 + k] == f"text {k}" for k in range(4))
+
+
 # 4 WARC -----------------------------------------------------------------------------------------------------------
 
 
