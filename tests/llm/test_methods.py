@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -507,6 +508,41 @@ def test_tables_grow_with_the_counted_bits(spark):
     assert (np.stack([model.n0, model.n1], 1) == tables[0] + tables[1]).all()
 
 
+def test_identities_of_rarer_words_follow_their_contexts(spark):
+    """Words outside the HEAD, and spelled words, are told from the word before: their texts cost less than shuffled ones."""
+    rng = random.Random(16)
+    pairs = [(f"first{k}", f"second{k * 7 % 400}") for k in range(400)]
+    rare = [(f"name{k}", f"zq{rng.randrange(10**6)}") for k in range(60)]  # under LEAST_COUNT
+    docs = [(i, " ".join(w for p in (rng.sample(pairs, 20) + [rare[k] for k in (i % 60, (i + 30) % 60) if i < 120]) for w in p)) for i in range(600)]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 5 == 1]
+    shuffled = {}
+    for i in held:
+        a = rng.sample(pairs, 20)
+        docs.append((i, " ".join(w for p in a for w in p)))
+        b = [y for _, y in a]
+        rng.shuffle(b)
+        k = next(n for n in itertools.count(2000 + 1000 * len(shuffled)) if zlib.crc32(str(n).encode()) % 5 == 1)
+        shuffled[i] = k
+        docs.append((k, " ".join(w for (x, _), y in zip(a, b, strict=True) for w in (x, y))))
+    got = {r.doc_id: r.score for r in ctx_mix_lm.score(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert sum(got[i] for i in held) > 0.8 * sum(got[k] for k in shuffled.values())
+
+
+def test_spelled_words_follow_the_word_before():
+    words = [b"alpha", b"bravo"] * 300
+    before = np.tile([7, 8], 300)
+    letters, first = ctx_mix_lm._letters(words)
+    model = ctx_mix_lm.BitModel(np.bincount(letters, minlength=257), ctx_mix_lm.LETTER_TABLES)
+    contexts = ctx_mix_lm.letter_contexts(letters, first, before)
+    into = model.new_counts()
+    model.count(letters, contexts, into)
+    model.set_counts(into[:, 0].copy(), into[:, 1].copy())
+    model.learn(letters, contexts)
+    model.finish()
+    right = model.log10_probabilities(letters, contexts).sum()
+    assert right > 0.5 * model.log10_probabilities(letters, ctx_mix_lm.letter_contexts(letters, first, before[::-1])).sum()
+
+
 def test_weights_are_learned_from_long_texts(spark, monkeypatch):
     seen = []
     learn = ctx_mix_lm.BitModel.learn
