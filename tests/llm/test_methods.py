@@ -405,6 +405,14 @@ def test_sources_that_are_too_small_stop_at_twice_their_size(spark):
     assert out[1].taken == 20 and out[4].taken == 10 and abs(out[2].taken - 1.0 * (1.5 * 2015 - 30) / 3) <= 1
 
 
+def test_the_stage_has_a_place_for_each_pass(spark):
+    docs = common.table(spark, "/root/testdata/sf0.001", "documents")
+    rows = curriculum_mix.mix_stage(docs).collect()
+    want = {(r.doc_id, r["pass"], r.words, r.position) for r in curriculum_mix.schedule(curriculum_mix.place_documents(docs)).collect()}
+    assert {(r.doc_id, x["pass"], x.words, x.position) for r in rows for x in r.passes} == want and any(len(r.passes) == 2 for r in rows)
+    assert all(sum(x.words for x in r.passes) == r.taken and (r.taken > 0 or r.position is None) for r in rows) and len(rows) == docs.count()
+
+
 # 9 decontamination ------------------------------------------------------------------------------------------------
 
 
