@@ -516,8 +516,9 @@ def test_tables_grow_with_the_counted_bits(spark):
     assert (np.stack([model.n0, model.n1], 1) == tables[0] + tables[1]).all()
 
 
-def test_identities_of_rarer_words_follow_their_contexts(spark):
+def test_identities_of_rarer_words_follow_their_contexts(spark, monkeypatch):
     """Words outside the HEAD, and spelled words, are told from the word before: their texts cost less than shuffled ones."""
+    monkeypatch.setattr(ctx_mix_lm, "HEAD", 10)
     rng = random.Random(16)
     pairs = [(f"first{k}", f"second{k * 7 % 400}") for k in range(400)]
     rare = [(f"name{k}", f"zq{rng.randrange(10**6)}") for k in range(60)]  # under LEAST_COUNT
