@@ -8,7 +8,7 @@ from chronoloom.llm.common import mix64
 
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _PINV = pow(_P, -1, 1 << 64)
-_STEP = 1 << 20
+_STEP, _MASK = 1 << 20, (1 << 64) - 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
@@ -28,41 +28,42 @@ def _power_tables() -> list[np.ndarray]:
     return _tables
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash for each word (run of bytes that aren't white space), with A-Z folded; equal wherever the word stands."""
-    if len(raw) > _STEP:
-        cut = max(raw.rfind(b, 0, _STEP) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-        if cut <= 0:  # one word fills the step: it ends at the next white space
-            nxt = [k for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c") if (k := raw.find(b, _STEP)) >= 0]
-            cut = min(nxt, default=len(raw))
-            return np.concatenate([_long_word(raw[:cut]), word_hashes(raw[cut:])]) if cut < len(raw) else _long_word(raw)
-        parts = []
-        while len(raw) > _STEP:
-            cut = max(raw.rfind(b, 0, _STEP) for b in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            if cut <= 0:
-                break
-            parts.append(word_hashes(raw[:cut]))
-            raw = raw[cut:]
-        return np.concatenate([*parts, word_hashes(raw)])
+def _polynomials(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of at most _STEP bytes: each word's polynomial in _P, begin and end."""
     b = np.frombuffer(raw, np.uint8)
     space = _SPACE[b]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     power, inverse = _power_tables()
     total = np.empty(len(b) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_FOLD[b] * power[: len(b)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * inverse[starts])
+    return (total[ends] - total[starts]) * inverse[starts], starts, ends
 
 
-def _long_word(raw: bytes) -> np.ndarray:
-    word = raw.strip(b" \t\n\r\x0b\x0c").lower()
-    h = 0
-    for k in range(0, len(word), 1 << 16):
-        h = (h * _P + int.from_bytes(word[k : k + 8], "little") + sum(word[k : k + (1 << 16)])) & ((1 << 64) - 1)
-    return mix64(np.array([h], np.uint64)) if word else np.zeros(0, np.uint64)
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash for each word (run of bytes that aren't white space), with A-Z folded; equal wherever the word stands.
+
+    Texts are read in steps; a word that goes on in the next step carries its polynomial over, whatever its length."""
+    out, value, length = [], 0, 0
+    for k in range(0, len(raw), _STEP):
+        part = raw[k : k + _STEP]
+        found, starts, ends = _polynomials(part)
+        if length and len(starts) and starts[0] == 0:
+            found[0] = (value + int(found[0]) * pow(_P, length, 1 << 64)) & _MASK
+            length += int(ends[0])
+        elif length:
+            out.append(np.array([value], np.uint64))
+            length = 0
+        if len(ends) and ends[-1] == len(part):  # open: it may go on
+            length = length if len(ends) == 1 and length else int(ends[-1] - starts[-1])
+            value, found = int(found[-1]), found[:-1]
+        else:
+            length = 0
+        out.append(found)
+    if length:
+        out.append(np.array([value], np.uint64))
+    return mix64(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:

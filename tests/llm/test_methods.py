@@ -292,6 +292,27 @@ def test_shingles_are_exact():
     assert (shingles.word_hashes(long.encode())[:50] == np.concatenate(parts)).all() and len(shingles.word_hashes(long.encode())) == 400_000
 
 
+def test_words_of_any_length_and_place():
+    rng = random.Random(71)
+    step = shingles._STEP
+    long = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(1000)) * (step // 1000 * 2 + 2)
+    other = long[:70_000] + bytes(reversed(long[70_000:70_008])) + long[70_008:]
+    h = lambda raw: shingles.word_hashes(raw).tolist()
+    assert len({h(long)[0], h(other)[0], h(long[:-1])[0], h(long + b"a")[0]}) == 4 and h(long.upper()) == h(long)
+    for n in (step - 1, step, step + 1, 3 * step):  # lengths and offsets at and across the steps
+        word = (long * 2)[:n]
+        for at in (0, 1, step - 1, step, step + 1):
+            assert h(b"x " + b" " * at + word + b" y") == h(b"x") + h(word) + h(b"y"), (n, at)
+    text = b" ".join(w.encode() for w in words(rng, 20_000, 10**6))
+    want = h(text)
+    for small in (7, 64, 4096):
+        shingles._STEP = small
+        try:
+            assert h(text) == want
+        finally:
+            shingles._STEP = step
+
+
 def test_estimate_corrects_chance_matches():
     rng = np.random.default_rng(8)
     for share in (0.0, 0.5, 0.9):
@@ -342,10 +363,46 @@ def test_near_duplicates_against_brute_force(spark):
         assert all(r.n_shingles == len(sets[i]) and r.kept == (i == want[i]) for i, r in got.items())
 
 
-def test_components_of_long_paths(spark):
-    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (205, 200), (200, 203)]
-    out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert all(out[i] == 0 for i in range(61)) and out[101] == 100 and out[205] == out[203] == 200
+def brute_roots(edges):
+    least = {x: x for e in edges for x in e}
+    while True:
+        before = dict(least)
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+        if before == least:
+            return least
+
+
+@pytest.mark.parametrize("chunk", [components.CHUNK, None])
+def test_components_against_brute_force(spark, chunk, monkeypatch):
+    """Chains of a thousand links in every order, hubs, loops, repeated links and random graphs, with few rounds."""
+    n, rng, rounds = 1000, random.Random(72), []
+    orders = [list(range(n)), list(range(n))[::-1], [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)], rng.sample(range(n), n)]
+    edges = [(x + 10_000 * k, y + 10_000 * k) for k, ids in enumerate(orders) for x, y in itertools.pairwise(ids)]
+    edges += [(50_000, 50_000 + k) for k in range(300)] + [(60_300, 60_000 + k) for k in range(300)] + [(70_000, 70_000), (70_001, 70_002), (70_001, 70_002)]
+    edges += [(80_000 + rng.randrange(400), 80_000 + rng.randrange(400)) for _ in range(300)]
+    rng.shuffle(edges)
+    star = components.star_round
+    monkeypatch.setattr(components, "star_round", lambda x: (rounds.append(1), star(x))[1])
+    out = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(6), chunk).collect()}
+    assert out == {x: c for x, c in brute_roots([e for e in edges if e[0] != e[1]]).items()} and len(rounds) < 25
+
+
+def test_components_of_no_links(spark):
+    assert components.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
+    found = components.components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")).collect()
+    assert {(r.node, r.component) for r in found} == {("a", "a"), ("b", "a"), ("c", "a")}
+
+
+def test_near_duplicates_in_a_chain(spark):
+    """Documents each of which is near its neighbours alone, with ids that fall away from the least one."""
+    base = [f"v{k}" for k in range(400)]
+    rows = []
+    for k in range(40):
+        base = base[6:] + [f"n{k}x{i}" for i in range(6)]
+        rows.append((1000 - k if k else 1, " ".join(base)))
+    got = minhash_bbit.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.component_id for r in got} == {1}
 
 
 # 7 vectors --------------------------------------------------------------------------------------------------------
