@@ -22,7 +22,15 @@ def hash_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
 
 
 def sample_ids(ids: DataFrame, bound: int, seed: int) -> DataFrame:
-    return hash_sample(ids.select("doc_id"), "doc_id", bound, seed)
+    """At most bound different ids, however often each is repeated."""
+    h, parts = F.xxhash64("doc_id", F.lit(seed)), 1 << 40
+    share = min(parts, 2 * bound * parts // max(ids.agg(F.approx_count_distinct("doc_id", 0.01)).first()[0], 1) + 1)
+    return ids.select("doc_id").where(F.pmod(h, F.lit(parts)) < share).distinct().orderBy(h, "doc_id").limit(bound)
+
+
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each combination of keys, with the text of the least hash among the rows that share them: a sample of ids stays a sample of so many rows."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def sample_ids_by(ids: DataFrame, label: str, bound: int, seed: int) -> DataFrame:

@@ -7,15 +7,13 @@ flagged.
 
 Learned from a sample of at most SAMPLE documents for each language, those that own a hash slot; whole texts are read.
 
-Defined cases: a null text or one without a letter is `und` with score 0 and not ambiguous; without any training rows
+Defined cases: a null text or one without a letter (Unicode's categories L*) is `und` with score 0 and not ambiguous; without any training rows
 all are `und`; with one training language every text with a letter gets it with score 1; a null lang is never learned;
 rows with a null doc_id are predicted but not learned from; repeated rows are predicted each; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +29,8 @@ AMBIGUOUS = 0.15
 FOLDS, HELD_OUT = 3, 1
 DIMS = 2048
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Characters of a text that are worked on at once.
+_PIECE = 1 << 20
 _FOLD = np.array([c if c >= 128 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256)], np.uint32)
 
 
@@ -52,22 +51,48 @@ def codewords(k: int) -> np.ndarray:
     return best
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is in one of Unicode's letter categories (L*); numerals such as fractions or Roman ones aren't."""
+    return any(map(str.isalpha, text or ""))
+
+
 def features(text: str | None) -> np.ndarray:
-    """Square-rooted frequencies of hashed byte 1- to 3-grams; capitals folded, all but letters taken as space."""
-    a = _FOLD[np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)]
-    a = np.concatenate([_FOLD[32:33], a, _FOLD[32:33]])
-    a = a[np.r_[True, (a[1:] != 32) | (a[:-1] != 32)]]
-    grams = [a * np.uint32(2654435761)]
-    if len(a) > 1:
-        grams.append((a[:-1] * np.uint32(40503) + a[1:] * np.uint32(2246822519)) ^ np.uint32(0x9E3779B9))
-    if len(a) > 2:
-        grams.append(a[:-2] * np.uint32(3266489917) + a[1:-1] * np.uint32(668265263) + a[2:] * np.uint32(374761393))
-    out = np.zeros(DIMS)
-    for g in grams:
+    """Square-rooted frequencies of hashed byte 1- to 3-grams; capitals folded, all but letters taken as one space. Counted piece by piece."""
+    text = text or ""
+    counts, sizes = np.zeros((3, DIMS)), np.zeros(3)
+    tail = _FOLD[32:33]  # the last two folded bytes before the piece
+    grams_of(tail, 0, counts, sizes)
+    for k in range(0, len(text), _PIECE):
+        a = _FOLD[np.frombuffer(text[k : k + _PIECE].lower().encode("utf-8", "surrogatepass"), np.uint8)]
+        tail = _added(a, tail, counts, sizes)
+    _added(_FOLD[32:33], tail, counts, sizes)
+    return np.sqrt((counts / np.maximum(sizes, 1)[:, None]).sum(0))
+
+
+def _added(a: np.ndarray, tail: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    a = a[(a != 32) | (np.concatenate([tail[-1:], a[:-1]]) != 32)]
+    joined = np.concatenate([tail, a])
+    grams_of(joined, len(tail), counts, sizes)
+    return joined[-2:]
+
+
+def grams_of(a: np.ndarray, known: int, counts: np.ndarray, sizes: np.ndarray) -> None:
+    """Adds the grams that end after the first known bytes."""
+    for n in (1, 2, 3):
+        at = max(known, n - 1) - (n - 1)
+        m = len(a) - n + 1
+        if m <= at:
+            continue
+        if n == 1:
+            g = a[at:] * np.uint32(2654435761)
+        elif n == 2:
+            g = (a[at:-1] * np.uint32(40503) + a[at + 1 :] * np.uint32(2246822519)) ^ np.uint32(0x9E3779B9)
+        else:
+            g = a[at:-2] * np.uint32(3266489917) + a[at + 1 : -1] * np.uint32(668265263) + a[at + 2 :] * np.uint32(374761393)
         g = g ^ (g >> np.uint32(15))
         g = g * np.uint32(2246822519)
-        out += np.bincount(g >> np.uint32(21), minlength=DIMS) / len(g)
-    return np.sqrt(out)
+        counts[n - 1] += np.bincount(g >> np.uint32(21), minlength=DIMS)
+        sizes[n - 1] += m - at
 
 
 class EcocModel:
@@ -84,7 +109,7 @@ class EcocModel:
     def predict(self, texts: list) -> list[list]:
         out = []
         for t in texts:
-            if not self.langs or not t or not _LETTER.search(t):
+            if not self.langs or not has_letter(t):
                 out.append(("und", 0.0, False))
             elif len(self.langs) == 1:
                 out.append((self.langs[0], 1.0, False))
@@ -98,7 +123,7 @@ def fit(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, steps: in
     learn = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~is_remainder(F.col("doc_id"), folds, held_out))
     # SAMPLE rows a language: a bounded table, so it may be broadcast
     ids = F.broadcast(fitting.sample_ids_by(learn.select("doc_id", "lang"), "lang", SAMPLE, 21).select("doc_id").distinct())
-    x, cols = fitting.vectors_of(learn.join(ids, "doc_id").select("text", "lang"), "text", features)
+    x, cols = fitting.vectors_of(fitting.one_text(learn.join(ids, "doc_id"), "doc_id", "lang").select("text", "lang"), "text", features)
     langs = sorted(set(cols["lang"]))
     code = codewords(len(langs))
     if len(langs) < 2:

@@ -6,11 +6,11 @@ al. 2017:  pi * R_p+ + max(0, R_u- - pi * R_p-), logistic loss. Labels 0 are nev
 
 The features are frequencies of pairs of neighbouring byte classes (letters, capitals, digits, spaces, each
 punctuation mark) and a few ratios, so they don't depend on the language; whole texts are read. The model is fitted on
-bounded samples: POSITIVES rows and UNLABELLED rows, those with the smallest id hashes.
+bounded samples: POSITIVES ids and UNLABELLED ids, those with the smallest hashes, and one text of each.
 
 Defined cases: a null or empty text has zero features and gets the model's score for them; without any positives or
 without any unlabelled rows each score is 0.5; documents with a null doc_id are scored but never sampled; repeated
-rows are scored each; further columns pass through untouched, whatever their names.
+rows are scored each, and rows that share a sampled id give one row to the sample; further columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -51,17 +51,25 @@ def _byte_classes() -> np.ndarray:
 _CLASS_OF = _byte_classes()
 
 
+#: Bytes of a text, and texts, that are worked on at once.
+_PIECE, _ROWS = 1 << 20, 1000
+
+
 def features(text: str | None) -> np.ndarray:
+    """Counted piece by piece; the words' shares are of the whole text."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     out = np.zeros(_CLASSES * _CLASSES + 4)
     if not raw:
         return out
-    c = _CLASS_OF[np.frombuffer(raw, np.uint8)]
-    if len(c) > 1:
-        out[: _CLASSES * _CLASSES] = np.sqrt(np.bincount(c[:-1] * _CLASSES + c[1:], minlength=_CLASSES * _CLASSES) / (len(c) - 1))
+    breaks = 0
+    for k in range(0, len(raw), _PIECE):
+        c = _CLASS_OF[np.frombuffer(raw, np.uint8, min(_PIECE + 1, len(raw) - k), k)]
+        out[: _CLASSES * _CLASSES] += np.bincount(c[:-1] * _CLASSES + c[1:], minlength=_CLASSES * _CLASSES)
+        breaks += int((c[:_PIECE] == 4).sum())
+    out = np.sqrt(out / max(len(raw) - 1, 1))
     words = raw.split()
     n = max(1, len(words))
-    out[-4:] = np.log1p(n) / 10, len(set(words)) / n, len(raw) / n / 20, (c == 4).mean()
+    out[-4:] = np.log1p(n) / 10, len(set(words)) / n, len(raw) / n / 20, breaks / len(raw)
     return out
 
 
@@ -107,18 +115,22 @@ class PuModel:
     def scores(self, texts: list) -> list[float]:
         if self.weights is None:
             return [0.5] * len(texts)
-        return [float(fitting.sigmoid(np.append((features(t)[self.used] - self.mean) / self.scale, 1.0) @ self.weights)) for t in texts]
+        out = []
+        for k in range(0, len(texts), _ROWS):
+            x = (np.stack([features(t)[self.used] for t in texts[k : k + _ROWS]]) - self.mean) / self.scale
+            out += fitting.sigmoid(x @ self.weights[:-1] + self.weights[-1]).tolist()
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT) -> PuModel:
     """Learns from documents and labels outside the held-out fold, by their text and quality = 1 alone."""
     inside = F.col("doc_id").isNotNull() & ~is_remainder(F.col("doc_id"), folds, held_out)
-    positive = fitting.sample_ids(labels.where(inside & (F.col("quality") == 1)).select("doc_id").distinct(), POSITIVES, 11)
+    positive = fitting.sample_ids(labels.where(inside & (F.col("quality") == 1)), POSITIVES, 11)
     texts = docs.select("doc_id", "text").where(inside)
     unlabelled = fitting.sample_ids(texts, UNLABELLED, 12)
     # both samples are bounded by the constants above, so they may be broadcast
     tagged = F.broadcast(positive.withColumn("p", F.lit(1)).unionAll(unlabelled.withColumn("p", F.lit(0))))
-    x, cols = fitting.vectors_of(texts.join(tagged, "doc_id").select("text", "p"), "text", features)
+    x, cols = fitting.vectors_of(fitting.one_text(texts.join(tagged, "doc_id"), "doc_id", "p").select("text", "p"), "text", features)
     p = np.array(cols["p"], dtype=bool)
     if not p.any() or p.all():
         return PuModel(None, None, None, None, 0.5)

@@ -50,6 +50,31 @@ def test_quality_on_held_out_rows(spark):
     assert (held.predicted == held.quality).mean() > 0.93 and held[held.quality == 1].predicted.mean() > 0.97
 
 
+def test_samples_stay_bounded_where_ids_are_repeated(spark, monkeypatch):
+    """Three hundred documents and labels that share one id give one row to each sample."""
+    rows = [(7, f"Text number {k} of many, with words.") for k in range(300)] + [(100 + k, f"Another text {k}.") for k in range(40)]
+    labels = [(7, 1, 0)] * 300 + [(100 + k, k % 2, 0) for k in range(40)]
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    sent = []
+    real = quality_pu.fitting.vectors_of
+    monkeypatch.setattr(quality_pu.fitting, "vectors_of", lambda *a: (r := real(*a), sent.append(len(r[0])))[0])
+    assert quality_pu.quality_digest(docs, marks).count() == 340 and sent[0] <= 82
+    monkeypatch.setattr(quality_pu, "UNLABELLED", 5)
+    monkeypatch.setattr(quality_pu, "POSITIVES", 3)
+    quality_pu.fit(docs, marks)
+    assert sent[1] == 8
+
+
+@pytest.mark.parametrize("piece", [1, 2, 5, 64])
+def test_features_of_long_texts_are_counted_in_pieces(piece, monkeypatch):
+    rng = random.Random(73)
+    texts = ["", "a", " ", "Ab", "".join(rng.choice("abcÄé漢 .,\n\tXYZ019-") for _ in range(300))]
+    for module in (quality_pu, langid_ecoc):
+        want = [module.features(t) for t in texts]
+        monkeypatch.setattr(module, "_PIECE", piece)
+        assert all(np.allclose(module.features(t), w) for t, w in zip(texts, want, strict=True))
+
+
 # 2 language -------------------------------------------------------------------------------------------------------
 
 
@@ -71,6 +96,15 @@ def test_decoding_corrects_one_wrong_bit():
     assert model.decode(np.zeros(code.shape[1]))[2]  # no evidence: ambiguous
 
 
+@pytest.mark.parametrize("text,letter", [("½ ²", False), ("Ⅷ ⅷ", False), ("12 _ 3,4", False), ("", False), (None, False), ("٣", False), ("a", True), ("1 漢", True), ("ª", True), ("ʰ", True), ("!! é", True)])
+def test_only_letters_have_a_language(text, letter):
+    import unicodedata
+
+    assert any(unicodedata.category(c)[0] == "L" for c in text or "") == letter
+    found = langid_ecoc.EcocModel(["xx"], langid_ecoc.codewords(1), None, None).predict([text])
+    assert found == ([["xx"], [1.0], [False]] if letter else [["und"], [0.0], [False]])
+
+
 def test_language_on_held_out_rows(spark):
     docs = common.table(spark, SF, "documents")
     m = langid_ecoc.language_digest(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
