@@ -12,8 +12,10 @@ Every item at or above SCORE is verified: of its five-word shingles (all its wor
 OVERLAP, and HALF_OVERLAP of those of its question and of its answer. An item's question is its text up to and with
 the last question mark, its answer the rest; without such a mark the first and the second half of its words.
 
-The index is made on the driver from at most SHARD_ITEMS items and broadcast; larger benchmarks go in shards of that
-size, each against all texts.
+Number of items, mean length, document frequencies and the longest item are those of the whole benchmark, counted in
+Spark; each item comes with its terms' weights. An index is made on the driver from a shard of about SHARD_ITEMS items and
+SHARD_WORDS words at most and broadcast; larger benchmarks go in several shards, one after the other, each against all
+texts that are left. As weights and passages don't depend on the shards, neither do the results.
 
 Defined cases: items without words and items with a null id match nothing; a null or empty text has no passages; a
 repeated item id keeps each of its texts; repeated documents give a row each; other columns aren't read.
@@ -29,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import words_of
+from chronoloom.llm.common import WORD, ascii_lower, discard, materialize, words_of
 
 K1, B = 1.2, 0.75
-BLOCK, LOW_SHARE, SHARD_ITEMS = 8, 0.25, 20_000
+BLOCK, LOW_SHARE, SHARD_ITEMS, SHARD_WORDS = 8, 0.25, 20_000, 4_000_000
 #: Least share of an item's own score, of its shingles, and of those of each half.
 SCORE, OVERLAP, HALF_OVERLAP = 0.6, 0.8, 0.5
 SHINGLE = 5
@@ -41,28 +43,21 @@ SHINGLE = 5
 class Index:
     """terms: word to number. Postings of term t: items[at[t]:at[t+1]] with weights; maxima of blocks likewise in blk_*."""
 
-    def __init__(self, texts: list[tuple[int, str]]):
-        split = [(i, words_of(t), t or "") for i, t in texts]
-        split = [x for x in split if x[1]]
-        self.ids = [i for i, _, _ in split]
-        self.words = [w for _, w, _ in split]
-        self.cuts = [self._question(w, t) for _, w, t in split]
-        n = len(split)
-        self.step = max((len(w) for w in self.words), default=1)
-        df = Counter(w for ws in self.words for w in set(ws))
-        idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
-        mean = sum(map(len, self.words)) / max(n, 1)
+    def __init__(self, items: list[tuple[int, str, dict[str, float]]], step: int):
+        """items: id, text and weight of each term; step: words of the longest item of the benchmark."""
+        split = [(i, words_of(t), t, w) for i, t, w in items]
+        self.ids = [i for i, _, _, _ in split]
+        self.words = [w for _, w, _, _ in split]
+        self.cuts = [self._question(w, t) for _, w, t, _ in split]
+        n, self.step = len(split), step
         postings: dict[bytes, list[tuple[int, float]]] = {}
-        for i, ws in enumerate(self.words):
-            tf = Counter(ws)
-            raw = {w: idf[w] * k * (K1 + 1) / (k + K1 * (1 - B + B * len(ws) / mean)) for w, k in tf.items()}
-            own = sum(raw.values())
-            for w, x in raw.items():
-                postings.setdefault(w, []).append((i, x / own))
+        for i, (_, _, _, weights) in enumerate(split):
+            for w, x in weights.items():
+                postings.setdefault(w.encode("utf-8", "surrogatepass"), []).append((i, x))
         low_sum = np.zeros(n)
         low: set[bytes] = set()
-        for w in sorted(postings, key=lambda w: (-df[w], w)):
-            if df[w] * 20 < n:
+        for w in sorted(postings, key=lambda w: (-len(postings[w]), w)):
+            if len(postings[w]) * 20 < n:
                 break
             i, x = (np.array(c) for c in zip(*postings[w], strict=True))
             if (low_sum[i] + x).max() <= LOW_SHARE:
@@ -156,31 +151,61 @@ class Index:
         return [(self.ids[i], score, whole) for i, (whole, score) in sorted(best.items())]
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame) -> list:
-    """A broadcast Index for each shard of at most about SHARD_ITEMS test items."""
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    shards = max(1, -(-items.count() // SHARD_ITEMS))
-    out = []
-    for s in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).orderBy("item_id", "text").toArrow()
-        texts = list(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), strict=True))
-        out.append(docs.sparkSession.sparkContext.broadcast(Index(texts)))
+def weighted_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, text, n (words), step (words of the longest item), weights (term to share of the item's score for itself) of each different item; a written table.
+
+    idf and mean length are those of the whole benchmark; only words and counts are shuffled, and numbers of one row broadcast."""
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    words = F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(f"({WORD})"), F.lit(1))
+    items = items.withColumn("w", words).withColumn("n", F.size("w")).where("n > 0").withColumn("row", F.xxhash64("item_id", "text"))
+    items = materialize(items.select("row", "item_id", "text", "n", "w"), "bm-items")
+    whole = items.agg(F.count("*").cast("double").alias("items"), F.avg("n").alias("mean"), F.max("n").alias("step"))
+    tf = items.select("row", "n", F.explode("w").alias("term")).groupBy("row", "n", "term").agg(F.count("*").alias("tf"))
+    tf = materialize(tf, "bm-terms")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    both = tf.join(df, "term").crossJoin(F.broadcast(whole))  # one row
+    idf = F.log(1 + (F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    raw = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
+    by_item = both.withColumn("x", raw).groupBy("row", "step").agg(F.array_sort(F.collect_list(F.struct("term", "x"))).alias("terms"))
+    own = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["x"])
+    weights = F.map_from_entries(F.transform("terms", lambda t: F.struct(t["term"], t["x"] / F.col("own"))))
+    scored = by_item.withColumn("own", own).select(F.col("row").alias("r"), "step", weights.alias("weights"))
+    out = materialize(items.join(scored, F.col("row") == F.col("r")).select("row", "item_id", "text", "n", "step", "weights"), "bm-weights")
+    discard(items, tf)
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, score, overlap for each test item that a document holds."""
-    shared = indexes(docs, benchmark)
+def indexes(benchmark: DataFrame):
+    """An Index for each shard of about SHARD_ITEMS items and SHARD_WORDS words at most."""
+    items = weighted_items(benchmark)
+    n, size, step = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.max("step")).first()
+    shards = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_WORDS))
+    for s in range(shards):
+        rows = items.where(F.pmod("row", F.lit(shards)) == s).orderBy("item_id", "text").select("item_id", "text", "weights").toArrow()
+        yield s == shards - 1, Index([(r["item_id"], r["text"], dict(r["weights"])) for r in rows.to_pylist()], step or 1)
+    discard(items)
 
-    def run(batches):
-        for b in batches:
-            ids, found = b.column("doc_id"), [[x for index in shared for x in index.value.leaks(t)] for t in b.column("text").to_pylist()]
-            at = [k for k, f in enumerate(found) for _ in f]
-            flat = [x for f in found for x in f]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())], ["doc_id", "item_id", "score", "overlap"])
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, score, overlap for each test item that a document holds."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, item_id bigint, score double, overlap double")
+    schema, out = f"doc_id {doc_type}, item_id bigint, score double, overlap double", None
+    for last, index in indexes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            for b in batches:
+                ids, found = b.column("doc_id"), [shared.value.leaks(t) for t in b.column("text").to_pylist()]
+                at = [k for k, f in enumerate(found) for _ in f]
+                flat = [x for f in found for x in f]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array([x[0] for x in flat], pa.int64()), pa.array([x[1] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.float64())], ["doc_id", "item_id", "score", "overlap"])
+
+        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        if not last:  # one shard at a time in the workers' memory
+            found = materialize(found, "bm-found")
+            shared.destroy()
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def decon_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -189,13 +214,21 @@ def decon_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decon_stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pipeline stage: documents that hold a test item go; the others stay as they are. Decided row by row, without a join."""
-    shared = indexes(docs, benchmark)
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array([not any(index.value.leaks(t) for index in shared) for t in b.column("text").to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    held = None
+    for last, index in indexes(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            for b in batches:
+                yield b.filter(pa.array([not shared.value.leaks(t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if not last:  # one shard at a time in the workers' memory
+            docs = materialize(docs, "bm-left")
+            shared.destroy()
+            discard(*([held] if held is not None else []))
+            held = docs
+    return docs
 
 
 ORACLE = r"""
