@@ -52,4 +52,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_minhash_bbit": minhash_bbit.ORACLE, "op7_rp_forest": rp_forest.ORACLE, "op8_curriculum_mix": curriculum_mix.ORACLE, "op9_bm25_decon": bm25_decon.ORACLE}
+    return {"op4_warc_segments": warc_segments.ORACLE, "op6_minhash_bbit": minhash_bbit.ORACLE, "op7_rp_forest": rp_forest.ORACLE, "op8_curriculum_mix": curriculum_mix.ORACLE, "op9_bm25_decon": bm25_decon.ORACLE}

@@ -9,7 +9,8 @@ archives go to any file system that Spark knows, and no file exceeds about BLOCK
 
 Reading. Each archive is one binaryFile row; records are cut out by Content-Length alone. Records without segments are
 decoded at once; segments alone are shuffled: grouped by origin id, ordered by segment number, checked against the
-total length, joined, and then decoded. A response's block is an HTTP message: its headers are parsed and chunked
+total length, joined, and then decoded. A record's id holds the number of its row, so that a group has the segments of one
+record, however often its page is repeated. A response's block is an HTTP message: its headers are parsed and chunked
 framing is undone. A group with a missing, repeated or wrong-sized segment gives an error row, never a shorter payload.
 
 Defined cases: null html is an empty payload; a null page_id has empty text in its header and is never the smallest; all
@@ -26,6 +27,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,12 +94,13 @@ def record(kind: str, rid: str, fields: Iterable[tuple[str, object]], block: byt
 _FLAT = {10: " ", 13: " "}
 
 
-def page_records(page_id, url, payload: bytes, revisit_of, segment: int = SEGMENT_BYTES) -> list[bytes]:
+def page_records(page_id, url, payload: bytes, revisit_of, segment: int = SEGMENT_BYTES, number: int = 0, first_url: str | None = None) -> list[bytes]:
+    """The records of one row; number tells rows with equal page_id and payload apart, first_url is the revisited page's."""
     digest = digest_of(payload)
     about = [("WARC-Target-URI", url or ""), ("X-Page-ID", "" if page_id is None else page_id), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", len(payload))]
-    rid = f"urn:page:{'' if page_id is None else page_id}:{digest}"
+    rid = f"urn:page:{'' if page_id is None else page_id}:{digest}:{number}"
     if revisit_of is not None:
-        ref = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{revisit_of}:{digest}>"), ("X-Refers-To-Page", revisit_of)]
+        ref = [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Target-URI", first_url or ""), ("X-Refers-To-Page", revisit_of)]
         return [record("revisit", rid, about + ref, b"")]
     block = http_message(payload)
     if len(block) <= segment:
@@ -118,18 +121,19 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, segment: i
     """Write a record for each row (page_id, url, html) to WARC files under path. Payloads under least_bytes are never revisits."""
     slim = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     sha = F.sha1(F.col("html").cast("binary"))
-    first = slim.where(F.octet_length("html") >= least_bytes).groupBy(sha.alias("fsha")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = slim.where(F.octet_length("html") >= least_bytes).groupBy(sha.alias("fsha")).agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     # written first, so that its size is known when the join is planned: the texts are shuffled only where it is large
     first = materialize(first, "warc-first")
     tagged = slim.withColumn("sha", sha).join(first, F.col("sha") == F.col("fsha"), "left")
     mine = F.col("first").isNull() | F.col("page_id").eqNullSafe(F.col("first")) | (F.octet_length("html") < least_bytes)
-    tagged = tagged.select("page_id", "url", "html", F.when(~mine, F.col("first")).alias("revisit_of"))
+    tagged = tagged.select("page_id", "url", "html", F.when(~mine, F.col("first")).alias("revisit_of"), "first_url")
 
     def run(batches):
-        held, size = [], 0
+        held, size, number = [], 0, TaskContext.get().partitionId() << 40
         for b in batches:
-            for page_id, url, html, ref in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "revisit_of")), strict=True):
-                for r in page_records(page_id, url, html.encode("utf-8", "replace"), ref, segment):
+            for page_id, url, html, ref, first_url in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "revisit_of", "first_url")), strict=True):
+                number += 1
+                for r in page_records(page_id, url, html.encode("utf-8", "replace"), ref, segment, number, first_url):
                     held.append(r)
                     size += len(r) + 4
                     if size >= BLOCK_BYTES:
@@ -210,23 +214,12 @@ def read_archives(spark: SparkSession, path: str, with_text: bool = True) -> Dat
 
     def join_segments(key, tbl):
         rows = sorted(tbl.to_pylist(), key=lambda r: r["number"])
-        return pa.Table.from_pylist([dict(zip(columns, reassemble(copy, with_text), strict=True)) for copy in copies_of(rows)], schema=_OUT)
+        return pa.Table.from_pylist([dict(zip(columns, reassemble(rows, with_text), strict=True))], schema=_OUT)
 
     whole = segments.groupBy("origin").applyInArrow(join_segments, _OUT_DDL)
     return parsed.where("origin is null").select(*columns).unionAll(whole)
 
 
-def copies_of(rows: list[dict]) -> list[list[dict]]:
-    """Equal rows in the table give equal origin ids: k equal segments of each number are k copies of the record."""
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(r["number"], []).append(r)
-    counts = {len(v) for v in by.values()}
-    if len(counts) == 1 and all(x["block"] == v[0]["block"] for v in by.values() for x in v):
-        return [[v[i] for v in by.values()] for i in range(counts.pop())]
-    return [rows]
-
-
 def reassemble(rows: list[dict], with_text: bool = True) -> tuple:
     """One record from its segments, or an error row; rows are ordered by segment number."""
     head = rows[0]
@@ -247,3 +240,17 @@ def warc_digest(pages: DataFrame) -> DataFrame:
     write_archives(pages, path)
     back = read_archives(spark, path, with_text=False)
     return back.select(F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"), "error")
+
+
+#: The archives' round trip gives what the pages say; base32 of a digest is spelled out, four letters for each five hexadecimal digits.
+ORACLE = r"""
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (select page_id, octet_length(encode(html))::bigint payload_bytes, sha1(encode(html)) h from p),
+f as (select h, min(page_id) first from d group by h)
+select page_id, payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::int >> (15 - 5 * (i % 4))) & 31) + 1, 1) for i in range(32)], '') payload_digest,
+       case when first is null or page_id = first then 'response' else 'revisit' end record_type,
+       case when page_id <> first or (page_id is null and first is not null) then first end refers_to,
+       null::varchar as error
+from d join f using (h)
+"""
