@@ -4,12 +4,18 @@ Pages of a host that have the same kinds of elements at the top of their body ar
 pages with different html are aligned by simple tree matching (Yang 1991): the largest ordered match of two DOM trees
 whose roots have equal labels; siblings with the same text are matched first. That gives a skeleton. Every page of the
 layout is then aligned with it, and a node is template if it has equal text in all pages in which it occurs, and occurs
-in LEAST_PAGES different ones; the others are slots. Each page is aligned with its template, aligned nodes with the
-template's text are dropped, and of the slots the article is kept: what stands in article or main elements, in page
-order, if there are any, without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments, which are known by element, role, class or id.
+in LEAST_PAGES different ones (constancy takes two); the others are slots. Each page is aligned with its template:
+aligned nodes with the template's text are dropped, and what stands in the slots is the main text, in page order.
 
-Only the skeleton comes from a sample: PAGES pages for each layout, those that own a hash slot. What tasks found about its
+Slots that the contract names go whatever they hold: menus, page headers, footers, sidebars, notices, adverts, forms,
+scripts, styles and reader comments, as element, role, class or id say. A class or id says so where the whole of it, or
+its last word, is one of SKIPPED_WORDS, or its first one with nothing but words of LAYOUT_WORDS behind. A header within
+an article is part of it.
+
+A page whose layout has no second page cannot be compared with anything; of such pages alone, article and main elements
+tell the content, if there are any.
+
+Only the skeleton comes from a sample: PAGES pages for each layout, the first and last of each of its hash slots. What tasks found about its
 nodes is summed by layout and node. Skeletons and templates are joined to the pages by host and layout; Spark broadcasts
 them only where the written table is under its threshold, and splits a hot host's rows otherwise.
 
@@ -17,8 +23,8 @@ Text: character references are decoded, white space (as Unicode has it) within a
 trimmed and joined by one space.
 
 Defined cases: null or empty html gives empty text; a page without a host (or url) is extracted without a template;
-a tag cut off by the end of the page is ignored; elements nested to any depth are read, and aligned down to DEPTH;
-repeated rows are extracted each; other columns aren't read.
+a page none of whose slots holds text keeps its constant text; a tag cut off by the end of the page is ignored; elements
+nested to any depth are read, and aligned down to DEPTH; loose text and inline elements stay or go with their block; repeated rows are extracted each; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from chronoloom.llm.common import discard, materialize
 from chronoloom.llm.line_align import _increasing
 
 #: Pages of a layout that its skeleton is made from, and in how many different pages a node of a template occurs at least.
-PAGES, LEAST_PAGES = 8, 4
+PAGES, LEAST_PAGES = 8, 2
 #: Nesting that is aligned; deeper elements are compared as a part of the one at that depth.
 DEPTH = 150
 
@@ -52,6 +58,8 @@ SKIPPED = frozenset("head nav footer aside form script style textarea title xmp
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words in class or id that mark what isn't the article.
 SKIPPED_WORDS = frozenset("nav navbar navigation menu topmenu breadcrumb breadcrumbs sidebar aside footer masthead banner ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies respond related recommended widget toolbar pagination pager skip".split())
+#: Words that may follow the first one in a class or id that marks what isn't the article.
+LAYOUT_WORDS = frozenset("area bar block bottom box btn button buttons center col column container content desktop footer form group header icons inner item items left link links list main middle mobile module outer panel right row section side slot strip text top unit widget wrap wrapper zone".split())
 LIST_CLOSES = {"li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 LIST_BOUNDS = frozenset("ul ol dl table tbody thead tfoot select".split())
 SCOPES = frozenset("html body table td th button object template".split())
@@ -77,12 +85,17 @@ def _kind(tag: str, attrs: str) -> tuple[str, bool]:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in SKIPPED_ROLES):
                 skip = True
             elif name in ("class", "id"):
-                words = re.split(r"[^a-z]+", value)
-                skip = skip or (tag not in ("html", "body", "article", "main") and not SKIPPED_WORDS.isdisjoint(words))
-                names += sorted(w for w in words if w)
+                skip = skip or (tag not in ("html", "body", "article", "main") and any(map(_says_skip, value.split())))
+                names += sorted(w for w in re.split(r"[^a-z]+", value) if w)
     return " ".join([tag, *names]), skip
 
 
+def _says_skip(name: str) -> bool:
+    """Whether a class or id marks what isn't the article: menu, cookie-notice and ad-slot-2 do, notice-board-history doesn't."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    return bool(words) and ("".join(words) in SKIPPED_WORDS or words[-1] in SKIPPED_WORDS or (words[0] in SKIPPED_WORDS and LAYOUT_WORDS.issuperset(words[1:])))
+
+
 def parse(text: str) -> Node:
     """A DOM tree of Nodes and strings (decoded text), with marks."""
     root = Node("#", "#", False)
@@ -145,11 +158,24 @@ def parse(text: str) -> Node:
         elif tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
             opened[tag] += 1
+    _skip_headers(root)
     for node in reversed(made):  # children come after their parents
         node.mark = _mark(node)
     return root
 
 
+def _skip_headers(root: Node) -> None:
+    """Headers of the page or of its parts, at any depth, but not those of an article."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for c in node.children:
+            if not isinstance(c, str) and c.tag != "article":
+                if c.tag == "header":
+                    c.skip = True
+                todo.append(c)
+
+
 def _mark(node: Node) -> int:
     """Hash of the text that is kept below node, from its children's marks; 0 if there is none."""
     parts = []
@@ -366,7 +392,7 @@ def _loaded(template: str) -> list:
 
 
 def extract(html: str | None, template: str | None = None) -> str:
-    """The main text of one page."""
+    """The main text of one page; template: that of its layout, if it has one."""
     if not html:
         return ""
     root = parse(html)
@@ -377,20 +403,15 @@ def extract(html: str | None, template: str | None = None) -> str:
         for t, s in found:
             if t[1] is not None and t[1] == s[3]:
                 drop.update(id(n) for n in s[1])
+        return text_of([root], frozenset(drop)) or text_of([root])
     regions, todo = [], [root]
     while todo:
         node = todo.pop()
         if node.tag in ("article", "main"):
             regions.append(node)
             continue
-        for c in reversed([c for c in node.children if not isinstance(c, str)]):
-            if c.tag == "header" and node.tag in ("#", "html", "body"):
-                c.skip = True
-            elif not c.skip:
-                todo.append(c)
-    if drop.issuperset(id(r) for r in regions):  # a host with one article on all its pages
-        drop -= {id(r) for r in regions}
-    return text_of(regions or [root], frozenset(drop))
+        todo += reversed([c for c in node.children if not isinstance(c, str) and not c.skip])
+    return text_of(regions or [root])
 
 
 def host_of(url):
@@ -411,17 +432,19 @@ def laid_out(pages: DataFrame) -> DataFrame:
 
 
 def templates(laid: DataFrame) -> DataFrame:
-    """t_host, t_layout, template (JSON) for each layout with constant nodes; a written table."""
+    """t_host, t_layout, template (JSON) for each layout with different pages; a written table."""
     own = laid.select("host", "layout", F.xxhash64("html").alias("h"), "html").where("host <> '' and html <> ''")
-    slots = materialize(own.groupBy("host", "layout", F.pmod("h", F.lit(PAGES)).alias("slot")).agg(F.min("h").alias("h")).select("host", "layout", "h"), "html-slots")
+    slots = own.groupBy("host", "layout", F.pmod("h", F.lit(PAGES // 2)).alias("slot")).agg(F.array(F.min("h"), F.max("h")).alias("ends"))
+    slots = materialize(slots.select("host", "layout", F.explode("ends").alias("h")).distinct(), "html-slots")
     sampled = own.join(slots, ["host", "layout", "h"]).groupBy("host", "layout", "h").agg(F.min("html").alias("html"))
     key_of = lambda key: [pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int64())]
 
     def first(key, rows):
-        found = json.dumps(skeleton(rows.column("html").to_pylist()))
+        pages = rows.column("html").to_pylist()
+        found = json.dumps(skeleton(pages)) if len(pages) >= LEAST_PAGES else None
         return pa.table([*key_of(key), pa.array([found], pa.string())], ["t_host", "t_layout", "made"])
 
-    made = materialize(sampled.groupBy("host", "layout").applyInArrow(first, "t_host string, t_layout bigint, made string"), "html-skeletons")
+    made = materialize(sampled.groupBy("host", "layout").applyInArrow(first, "t_host string, t_layout bigint, made string").where("made is not null"), "html-skeletons")
 
     def count(batches):
         into: dict = {}
@@ -443,12 +466,13 @@ def templates(laid: DataFrame) -> DataFrame:
     rows = own.join(made, (F.col("host") == F.col("t_host")) & (F.col("layout") == F.col("t_layout"))).select("host", "layout", "h", "html", "made")
     counted = rows.mapInArrow(count, "host string, layout bigint, node int, same boolean, hs array<bigint>").groupBy("host", "layout", "node")
     counted = counted.agg(F.min("same").alias("same"), F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("n")).where(F.col("same") & (F.col("n") >= LEAST_PAGES))
+    # as many nodes as the skeleton has at most; without a constant node all of it is slots
     nodes = counted.groupBy("host", "layout").agg(F.collect_list("node").alias("nodes"))
-    kept = made.join(nodes, (F.col("host") == F.col("t_host")) & (F.col("layout") == F.col("t_layout"))).select("t_host", "t_layout", "made", "nodes")
+    kept = made.join(nodes, (F.col("host") == F.col("t_host")) & (F.col("layout") == F.col("t_layout")), "left").select("t_host", "t_layout", "made", "nodes")
 
     def finish(batches):
         for b in batches:
-            found = [json.dumps(constant(m, set(n))) for m, n in zip(b.column("made").to_pylist(), b.column("nodes").to_pylist(), strict=True)]
+            found = [json.dumps(constant(m, set(n or ()))) for m, n in zip(b.column("made").to_pylist(), b.column("nodes").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("t_host"), b.column("t_layout"), pa.array(found, pa.string())], ["t_host", "t_layout", "template"])
 
     out = materialize(kept.mapInArrow(finish, "t_host string, t_layout bigint, template string"), "html-templates")
