@@ -6,14 +6,16 @@ standard deviations of the projected difference of a pair at the threshold: abou
 ways, and a pair at the threshold is parted by 3 % of the splits; over 10 levels a tree keeps 7 of 10 such pairs, and
 TREES trees all but one in a thousand. Closer pairs are parted less.
 
-The trees are fitted on a bounded sample of SAMPLE vectors, those with the smallest hashes, until a leaf holds at most
-LEAF of the sample. As a table can be much larger than the sample, leaves that hold more than WIDE vectors get a tree of
+The trees are fitted on a bounded sample of SAMPLE vectors (SAMPLE_VALUES numbers, where vectors are long), those with the
+smallest hashes, until a leaf holds at most LEAF of the sample. As a table can be much larger than the sample, leaves that hold more than WIDE vectors get a tree of
 their own, fitted on SLOTS of their vectors, in further rounds, until each fits or can't be split (nearly all its vectors
 would go both ways); such a leaf is compared in blocks of WIDE. A round divides a leaf by about SLOTS / LEAST_LEAF, so
 their number grows with the logarithm of the table. Every vector is indexed; nothing is capped or dropped.
 
-Within leaves all pairs are compared by cosine in double precision and those at or above the threshold are links;
-links from several trees count once. n_links counts the copies in linked classes, which are never expanded into pairs.
+Within leaves all pairs are compared by cosine in double precision and those at or above the threshold are links. Every
+row of a leaf knows all leaves of its vector, so a link is counted in the first leaf that both share, and nowhere else. A
+leaf gives each of its vectors' number of links and the least vector reachable within the leaf, never the pairs, so what
+leaves it is linear in its vectors. n_links counts the copies in linked classes, which aren't expanded into pairs either.
 
 Defined cases: a null vector, one with null or non-finite components, or a zero one has no links; vectors of another
 length than the most frequent one are compared with their own length only; a null vec_id is its own component (null)
@@ -23,6 +25,7 @@ and no one's partner; rows that share a vec_id count as separate vectors; labels
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import zlib
 
@@ -32,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoloom.llm.common import discard, materialize
-from chronoloom.llm.components import components
+from chronoloom.llm.components import components, roots
 from chronoloom.llm.fitting import hash_sample
 
 TREES, LEAF, SAMPLE, WIDE, SLOTS, LEAST_LEAF = 6, 160, 20_000, 1024, 512, 16
+SAMPLE_VALUES = 20_000_000
 SPILL = 0.4
 #: A split is made only if neither side gets more than this share of the vectors.
 LARGEST_SIDE = 0.9
@@ -148,34 +152,66 @@ def _leaf_rows(vecs: DataFrame, dims: int, trees: list[Tree], band: float) -> Da
     return vecs.select("rep", "v").mapInArrow(run, f"leaf string, rep {types['rep']}, v {types['v']}")
 
 
+def _elsewhere(mine: np.ndarray, other: np.ndarray, step: int = 4_000_000) -> np.ndarray:
+    """For each row of two tables of leaves (padded with values that the other hasn't): whether a leaf is in both."""
+    out = np.zeros(len(mine), bool)
+    step = max(1, step // max(mine.shape[1] * other.shape[1], 1))
+    for k in range(0, len(mine), step):
+        out[k : k + step] = (mine[k : k + step, :, None] == other[k : k + step, None, :]).any((1, 2))
+    return out
+
+
+def _before(leaves: list[np.ndarray], leaf: int, pad: int) -> np.ndarray:
+    """The leaves of each row that come before this one."""
+    width = max((len(x) for x in leaves), default=0)
+    out = np.full((len(leaves), max(width, 1)), pad, np.int64)
+    for k, x in enumerate(leaves):
+        x = x[x < leaf]
+        out[k, : len(x)] = x
+    return out
+
+
 def _compare(threshold: float, dims: int):
     def run(key, tbl):
         ids = tbl.column("rep").combine_chunks().to_numpy(zero_copy_only=False)
         x = unit_rows(tbl.column("v"), dims)
-        side = tbl.column("side").combine_chunks().to_numpy(zero_copy_only=False)
-        out_a, out_b = [], []
+        side, copies = (tbl.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("side", "copies"))
+        column, leaf = tbl.column("leaves").combine_chunks(), key[0].as_py()
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        leaves = [flat[a:b] for a, b in itertools.pairwise(ends.tolist())]
+        before = _before(leaves, leaf, np.iinfo(np.int64).max), _before(leaves, leaf, np.iinfo(np.int64).max - 1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):
-            right = left
-        for k in range(0, len(left), 512):
-            rows = left[k : k + 512]
+        within = not len(right)
+        right = left if within else right
+        others, found_i, found_j = np.zeros(len(ids), np.int64), [ids[:0]], [ids[:0]]
+        for k in range(0, len(left), 256):
+            rows = left[k : k + 256]
             i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
-            a, b = ids[rows[i]], ids[right[j]]
-            keep = a < b if right is left else a != b
-            out_a.append(np.minimum(a, b)[keep])
-            out_b.append(np.maximum(a, b)[keep])
-        empty = ids[:0]
-        return pa.table({"a": np.concatenate([*out_a, empty]), "b": np.concatenate([*out_b, empty])})
+            i, j = rows[i], right[j]
+            keep = i < j if within else ids[i] != ids[j]
+            i, j = i[keep], j[keep]
+            first = ~_elsewhere(before[0][i], before[1][j])
+            i, j = i[first], j[first]
+            others += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+            node, root = roots(ids[i], ids[j])  # a forest of these rows' links
+            found_i.append(node)
+            found_j.append(root)
+        node, root = roots(np.concatenate(found_i), np.concatenate(found_j))
+        linked = np.flatnonzero(others)
+        none = pa.nulls(len(node), pa.int64())
+        reps = pa.concat_arrays([pa.array(ids[linked], tbl.schema.field("rep").type), pa.array(node, tbl.schema.field("rep").type)])
+        return pa.table({"rep": reps, "others": pa.concat_arrays([pa.array(others[linked]), none]), "root": pa.concat_arrays([pa.nulls(len(linked), reps.type), pa.array(root, reps.type)])})
 
     return run
 
 
 def links(reps: DataFrame, dims: int, threshold: float, rounds: int = 8) -> DataFrame:
-    """Pairs a < b of different vectors (rep, v) with cosine >= threshold; a written table."""
+    """For different vectors (rep, v, copies): rows (rep, others) with numbers of linked vectors, which add up, and rows
+    (rep, root) that join the links' components; a written table."""
     band = spill_band(dims, threshold)
     rep_type = reps.schema["rep"].dataType.simpleString()
     # a bounded sample of SAMPLE vectors comes to the driver
-    sample = hash_sample(reps.select("rep", "v"), "rep", SAMPLE, 31).toArrow()
+    sample = hash_sample(reps.select("rep", "v"), "rep", max(LEAF, min(SAMPLE, SAMPLE_VALUES // dims)), 31).toArrow()
     x = unit_rows(sample.column("v"), dims)
     trees = [build_tree(x, 1000 + t, band, LEAF) for t in range(TREES)]
     wide = materialize(_leaf_rows(reps, dims, trees, band), "rp-leaves")
@@ -189,17 +225,20 @@ def links(reps: DataFrame, dims: int, threshold: float, rounds: int = 8) -> Data
             own = materialize(_own_trees(wide.join(big, "leaf"), dims, band, 7000 + r), "rp-trees")
             held.append(own)
             sizes = sizes.join(own.select("leaf", F.col("tree").isNotNull().alias("again")), "leaf", "left").where(~F.coalesce("again", F.lit(False))).select("leaf", "n")
-        kept = wide.join(sizes.select("leaf", F.ceil(F.col("n") / WIDE).cast("int").alias("blocks")), "leaf")
+        kept = wide.select("leaf", "rep").join(sizes.select("leaf", F.ceil(F.col("n") / WIDE).cast("int").alias("blocks")), "leaf")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
         wide = materialize(_split_again(wide, own.where("tree is not null"), dims, band), "rp-wide")
         held.append(wide)
-    blk = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    done = done.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    done = done.select("leaf", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "rep", "v")
-    found = done.groupBy("leaf", "i", "j").applyInArrow(_compare(threshold, dims), f"a {rep_type}, b {rep_type}")
-    out = materialize(found.distinct(), "rp-links")
+    # a vector's leaves: a few for each tree, as only about a tenth of a node's vectors go both ways
+    places = done.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("leaf").alias("leaf"), "blocks"))).alias("places"))
+    rows = reps.select("rep", "v", "copies").join(places, "rep").withColumn("leaves", F.transform("places", lambda p: p["leaf"]))
+    rows = rows.select("rep", "v", "copies", "leaves", F.inline("places")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("leaf", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "rep", "v", "copies", "leaves")
+    found = rows.groupBy("leaf", "i", "j").applyInArrow(_compare(threshold, dims), f"rep {rep_type}, others bigint, root {rep_type}")
+    out = materialize(found, "rp-links")
     discard(*held)
     return out
 
@@ -242,19 +281,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding)."""
     good = materialize(usable(vectors), "rp-unit")
     reps = materialize(good.groupBy("k", "dims", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "rp-reps")
-    pairs = None
+    found = None
     # one forest for each length of vector; lengths are a property of the schema, not of the data's size
     for dims in [r[0] for r in reps.select("dims").distinct().orderBy("dims").collect()]:
-        found = links(reps.where(F.col("dims") == dims), dims, threshold)
-        pairs = found if pairs is None else pairs.unionAll(found)
+        own = links(reps.where(F.col("dims") == dims), dims, threshold)
+        found = own if found is None else found.unionAll(own)
     all_ids = vectors.select("vec_id")
     zero = F.lit(0).cast("bigint")
-    if pairs is None:
+    if found is None:
         return all_ids.select("vec_id", zero.alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
-    comp = components(pairs)
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = reps.select(F.col("rep").alias("b"), "copies")
-    other = both.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("others"))
+    comp = components(found.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    other = found.where("others is not null").groupBy("rep").agg(F.sum("others").alias("others"))
     classes = reps.join(other, "rep", "left").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = materialize(classes.select("k", "dims", "v", F.coalesce("component", "rep").alias("component_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "rp-classes")
     linked = good.join(classes, ["k", "dims", "v"]).select("vec_id", "n_links", "component_id")

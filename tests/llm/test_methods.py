@@ -521,6 +521,21 @@ def test_vectors_against_brute_force(spark):
     assert (got <= s.sum(1)).all() and got.sum() >= 0.98 * s.sum()
 
 
+def test_links_of_a_cluster_are_counted_once_and_leave_no_pairs(spark, monkeypatch):
+    """A cluster of different vectors, copies of some, in blocks and several trees: exact counts, and rows linear in the vectors."""
+    monkeypatch.setattr(rp_forest, "WIDE", 60)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 16)), 200, 0) + rng.normal(size=(200, 16)) * 0.01, rng.normal(size=(50, 16))])
+    x = np.concatenate([x, x[:30], x[:5]])
+    made, real = [], rp_forest.links
+    monkeypatch.setattr(rp_forest, "links", lambda *a: (r := real(*a), made.append(r.count()))[0])
+    out = {r.vec_id: r for r in rp_forest.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()}
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    s = y @ y.T >= 0.95
+    assert all(out[i].n_links == s[i].sum() - 1 for i in range(len(x)))
+    assert all(out[i].component_id == 0 for i in (*range(200), *range(250, 285))) and made[0] < 60 * 250 < 200 * 199 // 2
+
+
 def test_wide_leaves_are_split_again(spark, monkeypatch):
     monkeypatch.setattr(rp_forest, "WIDE", 40)
     monkeypatch.setattr(rp_forest, "LEAF", 10**6)
