@@ -97,6 +97,13 @@ def _id_marks(ids: DataFrame) -> tuple:
     return F.broadcast(marks), word, lambda c: F.getbit("__ids_bits", bit(c)) == 1
 
 
+def split_by_ids(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key the bitmap of ids (a written table with one column) lets through, which are all those whose key is in ids and few others, and the rest. Neither shuffles df."""
+    marks, word, is_set = _id_marks(ids)
+    marked = df.join(marks, word(F.col(key)) == F.col("__ids_word"), "left").withColumn("__ids_bits", F.coalesce(is_set(F.col(key)), F.lit(False)))
+    return marked.where("__ids_bits").select(*df.columns), marked.where("not __ids_bits").select(*df.columns)
+
+
 def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose key is in ids (a written table with one column): a semi join that shuffles only rows that the bitmap lets through."""
     marks, word, is_set = _id_marks(ids)
@@ -106,7 +113,5 @@ def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
 
 def without_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose key isn't in ids: those that the bitmap clears, and of the others those that an anti join leaves. Null keys stay."""
-    marks, word, is_set = _id_marks(ids)
-    marked = df.join(marks, word(F.col(key)) == F.col("__ids_word"), "left").withColumn("__ids_bits", F.coalesce(is_set(F.col(key)), F.lit(False)))
-    unsure = marked.where("__ids_bits").select(*df.columns)
-    return marked.where("not __ids_bits").select(*df.columns).unionAll(unsure.join(ids, unsure[key] == ids[ids.columns[0]], "left_anti"))
+    unsure, rest = split_by_ids(df, key, ids)
+    return rest.unionAll(unsure.join(ids, unsure[key] == ids[ids.columns[0]], "left_anti"))

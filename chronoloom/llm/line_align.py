@@ -5,13 +5,14 @@ sequence of successive lines, from any line on or up to any line, with at least
 of that many words that two documents share cover it. For each run that several documents have, the one with the least
 doc_id owns it; every other document that has it makes a pair with the owner. So whatever a document shares with any
 earlier one, it shares with the owners that it is paired with; pairs grow with the shared runs and not with the square of
-their groups, and no line is too frequent or too short to count. Each pair is aligned with patience diff: lines that occur
-once on either side anchor the alignment (longest increasing sequence), the gaps are aligned in turn. What is left, as it
-crosses that alignment, is aligned run by run until no common block remains. Blocks of successive aligned lines with at
-least LEAST_WORDS words are deleted from the later document. Documents are compared as they came, so the first document
-with a run always keeps it, but for lines that are in a run of a yet earlier one.
+their groups, and no line is too frequent or too short to count. Each pair is aligned with patience diff over the runs that
+they share: those that occur once on either side anchor the alignment (longest increasing sequence), the gaps are aligned in
+turn. What crosses that alignment is aligned again, against the owner read backwards and forwards by turns, until nothing is
+left. The lines of aligned runs are deleted from the later document. Documents are compared as they came, so the first
+document with a run always keeps it, but for lines that are in a run of a yet earlier one.
 
-Only line hashes and word counts travel; texts are read once for hashing and once for the deletions.
+Only hashes and places of runs travel, those of the owner beside those of each document that shares them; texts are read
+once for hashing and once for the deletions.
 
 Defined cases: documents with a null doc_id or null text are left as they are; blank lines are neither compared nor
 deleted; rows that share a doc_id are never compared with each other, and equal rows get equal results; a document all of
@@ -29,10 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import WORD, ascii_lower, discard, fresh_name, materialize
+from chronoloom.llm.common import WORD, discard, fresh_name, materialize, split_by_ids
 
 #: Words that a common block has at least.
 LEAST_WORDS = 5
+#: Rows in a batch that goes back to the JVM.
+_ROWS = 100_000
+_HALF = 1 << 63
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,77 +116,89 @@ def runs(words: list[int], least_words: int = LEAST_WORDS) -> list[tuple[int, in
     return sorted(set(out))
 
 
-def run_hashes(lines: list[int], words: list[int], least_words: int = LEAST_WORDS) -> set[int]:
-    """Of a text's lines (hash 0 is a blank line): a line's own hash where it is a run by itself."""
-    at = [i for i, h in enumerate(lines) if h]
-    a = [lines[i] for i in at]
-    packed = np.array(a, np.int64).tobytes()
-    found = runs([words[i] for i in at], least_words)
-    return {a[k] if end == k + 1 else xxhash.xxh64_intdigest(packed[8 * k : 8 * end]) - (1 << 63) for k, end in found}
+def text_runs(text: str, least_words: int = LEAST_WORDS) -> dict[int, tuple[list[int], list[int]]]:
+    """For each different run of a text, by its hash: where it begins, among the lines that aren't blank, and the numbers of its lines, for each time that it occurs."""
+    number, size, digest = [], [], []
+    for n, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        if words := len(line.split()):
+            number.append(n)
+            size.append(words)
+            digest.append(xxhash.xxh64_intdigest(line.strip().lower()) - _HALF)
+    single = not size or min(size) >= least_words
+    packed = b"" if single else np.array(digest, np.int64).tobytes()
+    found: dict[int, tuple[list[int], list[int]]] = {}
+    for k, end in zip(range(len(size)), range(1, len(size) + 1), strict=True) if single else runs(size, least_words):
+        h = digest[k] if end == k + 1 else xxhash.xxh64_intdigest(packed[8 * k : 8 * end]) - _HALF
+        at, lines = found.setdefault(h, ([], []))
+        at.append(k)
+        lines += number[k:end]
+    return found
+
+
+def aligned_lines(shared: list[tuple[list[int], list[int], list[int]]]) -> set[int]:
+    """Lines of the later document in runs that are aligned with the owner's. shared: for each run, its places and lines in the later document and its places in the owner."""
+    mine = sorted((k, r, lines[i * n : i * n + n]) for r, (at, lines, _) in enumerate(shared) for n in [len(lines) // len(at)] for i, k in enumerate(at))
+    theirs = [r for _, r in sorted((k, r) for r, (_, _, owned) in enumerate(shared) for k in owned)]
+    gone: set[int] = set()
+    while mine:
+        hit = {i for i, _ in patience([r for _, r, _ in mine], theirs)}
+        for i in hit:
+            gone.update(mine[i][2])
+        mine = [x for i, x in enumerate(mine) if i not in hit]
+        theirs.reverse()  # what crosses in one direction is in order in the other: of n runs, two turns align the root of n at least
+    return gone
 
 
-def common_lines(later: list[int], words: list[int], owner: list[int], least_words: int = LEAST_WORDS) -> list[int]:
-    """Indices of the lines of the later document in aligned blocks of at least least_words words. Hash 0 is a blank line."""
-    at_a = [i for i, h in enumerate(later) if h]
-    a, b = [later[i] for i in at_a], [h for h in owner if h]
-    gone: set[int] = set()
-    block, size, last = [], 0, (-2, -2)
-    for i, j in [*patience(a, b), (-9, -9)]:
-        if (i - 1, j - 1) != last:
-            if size >= least_words:
-                gone.update(block)
-            block, size = [], 0
-        if i >= 0:
-            block.append(i)
-            size += words[at_a[i]]
-        last = (i, j)
-    # runs that cross the alignment
-    left = [(k, end) for k, end in runs([words[i] for i in at_a], least_words) if not gone.issuperset(range(k, end))]
-    owned = {n: {tuple(b[j : j + n]) for j in range(len(b) - n + 1)} for n in {end - k for k, end in left}}
-    for k, end in left:
-        if tuple(a[k:end]) in owned[end - k]:
-            gone.update(range(k, end))
-    return [at_a[k] for k in sorted(gone)]
-
-
-def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), hs and ws: hash and number of words of each line."""
-    lines = F.split("text", "\n")
-    bare = lambda x: ascii_lower(F.regexp_replace(F.trim(x), r"\s+$|^\s+", ""))
-    blank = lambda x: F.regexp_count(x, F.lit(WORD)) == 0
-    hashed = F.transform(lines, lambda x: F.when(blank(x), F.lit(0).cast("bigint")).otherwise(F.xxhash64(bare(x))))
-    counts = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)))
-    return docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), hashed.alias("hs"), counts.alias("ws"))
+def run_table(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, th (hash of the text), h, at, lines: a row for each different run of each document; a written table."""
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
+    ints = pa.list_(pa.int32())
+
+    def rows(ids, th, which, hs, at, lines):
+        which = pa.array(which, pa.int64())
+        return pa.RecordBatch.from_arrays([ids.take(which), th.take(which), pa.array(hs, pa.int64()), pa.array(at, ints), pa.array(lines, ints)], ["doc_id", "th", "h", "at", "lines"])
+
+    def run(batches):
+        for b in batches:
+            ids, th = b.column("doc_id"), b.column("th")
+            which, hs, at, lines = [], [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                for h, (k, n) in text_runs(text, least_words).items():
+                    which.append(i)
+                    hs.append(h)
+                    at.append(k)
+                    lines.append(n)
+                    if len(hs) >= _ROWS:
+                        yield rows(ids, th, which, hs, at, lines)
+                        which, hs, at, lines = [], [], [], []
+            yield rows(ids, th, which, hs, at, lines)
+
+    return materialize(texts.mapInArrow(run, f"doc_id {doc_type}, th bigint, h bigint, at array<int>, lines array<int>"), "la-runs")
 
 
 def deletions(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """d_id, d_th, gone (sorted line numbers) for each document that loses lines; a written table."""
-    table = materialize(line_table(docs), "la-lines")
+    table = run_table(docs, least_words)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def hashes(batches):
-        for b in batches:
-            found = [list(run_hashes(hs, ws, least_words)) for hs, ws in zip(b.column("hs").to_pylist(), b.column("ws").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "th", "found"])
-
-    found = table.select("doc_id", "th", "hs", "ws").mapInArrow(hashes, f"doc_id {doc_type}, th bigint, found array<bigint>")
-    found = materialize(found, "la-runs")
-    lines = found.select("doc_id", "th", F.explode("found").alias("h"))
-    owners = lines.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top")
-    owners = materialize(owners.select("h", "owner"), "la-owners")
-    pairs = lines.join(owners, "h").where("doc_id > owner").select("doc_id", "th", "owner").distinct()
-    pairs = materialize(pairs, "la-pairs")
-    distinct = table.dropDuplicates(["doc_id", "th"])
-    both = pairs.join(distinct.select(F.col("doc_id").alias("owner"), F.col("hs").alias("owned")), "owner").join(distinct, ["doc_id", "th"])
+    owners = table.groupBy("h").agg(F.min(F.struct("doc_id", "th", "at")).alias("o"), F.max("doc_id").alias("top")).where("o.doc_id < top")
+    owners = materialize(owners.select("h", F.col("o.doc_id").alias("owner"), F.col("o.th").alias("owner_th"), F.col("o.at").alias("owned")), "la-owners")
+    shared = table.join(owners, "h").where("doc_id > owner")
+    # a document's shared runs, once each however often its row is repeated: no more than the document has
+    by_later = shared.groupBy("doc_id", "th").agg(F.collect_set(F.struct("owner", "owner_th", "at", "lines", "owned")).alias("shared"))
 
     def run(batches):
         for b in batches:
-            gone = [common_lines(hs, ws, owned, least_words) for hs, ws, owned in zip(*(b.column(c).to_pylist() for c in ("hs", "ws", "owned")), strict=True)]
+            gone = []
+            for k in range(b.num_rows):
+                by_owner: dict = {}
+                for x in b.column("shared")[k].as_py():
+                    by_owner.setdefault((x["owner"], x["owner_th"]), []).append((x["at"], x["lines"], x["owned"]))
+                gone.append(sorted(set().union(*map(aligned_lines, by_owner.values()))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(gone, pa.list_(pa.int32()))], ["d_id", "d_th", "gone"])
 
-    aligned = both.select("doc_id", "th", "hs", "ws", "owned").mapInArrow(run, f"d_id {doc_type}, d_th bigint, gone array<int>").where("size(gone) > 0")
-    out = materialize(aligned.groupBy("d_id", "d_th").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "la-gone")
-    discard(table, found, owners, pairs)
+    out = materialize(by_later.mapInArrow(run, f"d_id {doc_type}, d_th bigint, gone array<int>"), "la-gone")
+    discard(table, owners)
     return out
 
 
@@ -190,10 +206,12 @@ def dedup_lines(docs: DataFrame, gone_col: str = "gone", least_words: int = LEAS
     """docs with text reduced and the deleted line numbers in gone_col (null: none deleted)."""
     gone = deletions(docs, least_words)
     th, g = fresh_name(docs, "line_th"), fresh_name(docs, gone_col)
+    touched, rest = split_by_ids(docs, "doc_id", gone.select("d_id").distinct())  # only texts that lose lines are shuffled
     gone = gone.select(F.col("d_id").alias("__d_id"), F.col("d_th").alias("__d_th"), F.col("gone").alias(g))
-    joined = docs.withColumn(th, F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("__d_id")) & (F.col(th) == F.col("__d_th")), "left")
+    joined = touched.withColumn(th, F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("__d_id")) & (F.col(th) == F.col("__d_th")), "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(g), i))
-    return joined.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop(th, "__d_id", "__d_th")
+    joined = joined.withColumn("text", F.when(F.col(g).isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept))).drop(th, "__d_id", "__d_th")
+    return joined.unionByName(rest.withColumn(g, F.lit(None).cast("array<int>")))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
