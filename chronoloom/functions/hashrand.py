@@ -36,6 +36,12 @@ def u_sql(purpose: int, *about: str, seed: int = SEED) -> str:
     return f"(('0x' || substr(md5({key}), 1, 13))::ubigint::double / 4503599627370496e0)"
 
 
+def quick(purpose: int, *about, seed: int = SEED) -> Column:
+    """Uniform on [0, 1), like u, from Spark's xxHash64: no text is made, and it stays within generated code. For draws of single events, of which there are many."""
+    key = [x if isinstance(x, Column) else F.lit(x) for x in (seed, purpose, *about)]
+    return F.shiftrightunsigned(F.xxhash64(*key), 11).cast("double") * F.lit(2.0**-53)
+
+
 def real(x: float) -> str:
     """A literal that both engines read as the same double."""
     return f"{x:.17e}"
@@ -45,14 +51,26 @@ def _lit_array(xs: list[float]) -> Column:
     return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in xs)})")  # one call to the JVM, not one a number
 
 
-def poisson_cdf(mean: float) -> list[float]:
-    out, p, total, k = [], math.exp(-mean), 0.0, 0
-    while total < 1 - 1e-12 and k < 400:
+def poisson_table(mean: float) -> tuple[int, list[float]]:
+    """First outcome and the distribution function from there on, up to 1 - 1e-12, for any mean.
+
+    Outcomes that are left out before the first have less mass together than 1e-30; from the logarithm of the mass at
+    the first one, so that nothing underflows."""
+    lo = max(0, math.floor(mean - 12 * math.sqrt(mean) - 12)) if mean > 500 else 0
+    p = math.exp(lo * math.log(mean) - mean - math.lgamma(lo + 1)) if lo else math.exp(-mean)
+    most = math.ceil(mean + 12 * math.sqrt(mean) + 60)
+    out, total, k = [], 0.0, lo
+    while total < 1 - 1e-12 and k < most:
         total += p
         out.append(min(total, 1.0))
         k += 1
         p *= mean / k
-    return out
+    return lo, out
+
+
+def poisson_cdf(mean: float) -> list[float]:
+    lo, out = poisson_table(mean)
+    return [0.0] * lo + out
 
 
 def zipf_cdf(s: float, n: int) -> list[float]:
@@ -90,7 +108,10 @@ def pick_sql(draw: str, cdf: list[float]) -> str:
 
 
 def poisson(draw: Column, mean: float) -> Column:
-    return pick(draw, poisson_cdf(mean)) if mean >= 1e-9 else F.lit(0)
+    if mean < 1e-9:
+        return F.lit(0)
+    lo, cdf = poisson_table(mean)
+    return (pick(draw, cdf) + F.lit(lo)).cast("int")
 
 
 def poisson_sql(draw: str, mean: float) -> str:

@@ -27,7 +27,7 @@ def arrivals(spark: SparkSession, actors: int, days: int, rate: float, weekly: l
 def bursts(base: DataFrame, p: float, mean_length: float, gap: float = 300.0, seed: int = SEED) -> DataFrame:
     """Follow-ups of each base event with probability p: a geometric number at exponential gaps, cut at the day's end."""
     key = lambda *w: u(ACTOR, F.col("actor"), F.col("day"), F.col("k"), *w, seed=seed)
-    more = F.when(key("b") < p, F.least(geometric(key("g"), mean_length), F.lit(40))).otherwise(0)
+    more = F.when(key("b") < p, geometric(key("g"), mean_length)).otherwise(0)
     x = base.withColumn("j", F.explode(F.sequence(F.lit(0), more)))
     step = F.when(F.col("j") == 0, F.lit(0.0)).otherwise(exponential(key("e", F.col("j")), gap))
     w = Window.partitionBy("actor", "day", "k").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
@@ -63,28 +63,44 @@ def neighbour_pick(events: DataFrame, skeleton: DataFrame, n_nodes: int, seed: i
     return x.select("id", F.coalesce("dst", F.floor(u(ACTOR, F.col("id"), "any", seed=seed) * n_nodes).cast("bigint")).alias("dst"))
 
 
-def hawkes(base: DataFrame, branching: float, decay: float, window: int = DAY, generations: int = 60, seed: int = SEED) -> DataFrame:
-    """Self-exciting cascades: each event has Poisson(branching) children at exponential delays. One generation a round, in a
-    Python function over Arrow batches, as a family is small and its depth isn't known."""
+def hawkes(base: DataFrame, branching: float, decay: float, window: int = DAY, seed: int = SEED) -> DataFrame:
+    """actor, day, k, path, generation, second: self-exciting cascades, in which each event has Poisson(branching) children at
+    exponential delays; children past the window are not born.
+
+    A family is followed to its end in a Python function over Arrow batches, as its depth isn't known; it is finite, with
+    1 / (1 - branching) members on average, as branching must be under 1. Draws are those of u, keyed by the path of births.
+    """
+    if not 0 <= branching < 1:
+        raise ValueError("branching must be in [0, 1), else families don't end")
+    cdf = poisson_cdf(branching)
 
     def run(batches):
-        import numpy as np
+        import bisect
+        import hashlib
+        import math
+
         import pyarrow as pa
 
+        def uniform(*about):
+            return int(hashlib.md5("|".join(map(str, (seed, ACTOR, *about))).encode()).hexdigest()[:13], 16) / (1 << 52)
+
         for b in batches:
             out = []
             for actor, day, k, second in zip(*(b.column(c).to_pylist() for c in ("actor", "day", "k", "second")), strict=True):
-                rng = np.random.default_rng([seed, actor, day, k])
-                todo = [(second, 0)]
-                while todo and len(todo) < 4096:
-                    t, g = todo.pop()
-                    out.append((actor, day, k, g, int(t)))
-                    if g < generations:
-                        todo += [(t + d, g + 1) for d in rng.exponential(decay, rng.poisson(branching)) if t + d < window]
+                todo = [("0", 0, float(second))]
+                while todo:
+                    path, g, t = todo.pop()
+                    out.append((actor, day, k, path, g, math.floor(t)))
+                    for i in range(min(bisect.bisect_right(cdf, uniform(actor, day, k, path, "kids")), len(cdf) - 1)):
+                        child = f"{path}.{i}"
+                        at = t - decay * math.log(max(uniform(actor, day, k, child, "delay"), 1e-12))
+                        if at < window:
+                            todo.append((child, g + 1, at))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["actor", "day", "k", "generation", "second"])
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["actor", "day", "k", "path", "generation", "second"])
 
-    return base.select("actor", "day", "k", "second").mapInArrow(run, "actor bigint, day int, k int, generation int, second bigint")
+    return base.select("actor", "day", "k", "second").mapInArrow(run, "actor bigint, day int, k int, path string, generation int, second bigint")
 
 
 def chain_stage(campaigns: DataFrame, mean: float, scope: str, seed: int = SEED) -> DataFrame:

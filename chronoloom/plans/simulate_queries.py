@@ -20,6 +20,7 @@ from chronoloom.sources.tables import load as table
 from chronoloom.streaming import edges as E
 
 QUERIES: dict = {}
+# Weekday (from Monday) and hour profiles of retail activity.
 WEEKLY = [1.0, 1.0, 1.0, 1.05, 1.35, 1.15, 0.85]
 DIURNAL = [0.2, 0.1, 0.1, 0.1, 0.1, 0.2, 0.5, 0.9, 1.2, 1.4, 1.5, 1.6, 1.7, 1.5, 1.4, 1.4, 1.5, 1.7, 1.8, 1.6, 1.3, 1.0, 0.6, 0.4]
 
@@ -47,7 +48,7 @@ add("gen_arrivals", lambda spark, d: base(spark), f"with {_BASE} select actor, d
 add(
     "gen_burst",
     lambda spark, d: A.bursts(base(spark), 0.3, 2.0),
-    f"""with {_BASE}, m as (select *, unnest(range(0, 1 + case when {_u('actor', 'day', 'k', _q('b'))} < 0.3e0 then least({geometric_sql(_u('actor', 'day', 'k', _q('g')), 2.0)}, 40) else 0 end)) j from base),
+    f"""with {_BASE}, m as (select *, unnest(range(0, 1 + case when {_u('actor', 'day', 'k', _q('b'))} < 0.3e0 then {geometric_sql(_u('actor', 'day', 'k', _q('g')), 2.0)} else 0 end)) j from base),
 s as (select *, second + sum(case when j = 0 then 0e0 else {exponential_sql(_u('actor', 'day', 'k', _q('e'), 'j'), 300.0)} end) over (partition by actor, day, k order by j) at_ from m) select actor, day::int as day, k::int k, j::int j, floor(at_)::bigint as second from s where at_ < 86400""",
 )
 add(
@@ -113,7 +114,14 @@ add("gen_nodes", lambda spark, d: world(spark).nodes("account").select("id", "ty
 add("gen_edges", lambda spark, d: world(spark).edges().groupBy("event_type", "label").agg(F.count("*").alias("n")))
 add("gen_ground_truth", lambda spark, d: world(spark).ground_truth().select("id", "intent", "n_members", "community", "start_t", "end_t"))
 add("gen_final_state", lambda spark, d: (lambda w: w.final_state(w.edges()).groupBy("var").agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean")))(world(spark, edges=15_000)))
-add("gen_hawkes", lambda spark, d: A.hawkes(base(spark), 0.5, 600.0))
+_BORN = f"f.second + {exponential_sql(_u('actor', 'day', 'k', 'child', _q('delay')), 600.0)}"
+add(
+    "gen_hawkes",
+    lambda spark, d: A.hawkes(base(spark), 0.5, 600.0),
+    f"""with recursive {_BASE}, fam as (select actor, day, k, '0' path, 0 generation, second::double as second from base
+union all select actor, day, k, child, generation + 1, {_BORN} from (select *, path || '.' || unnest(range({poisson_sql(_u('actor', 'day', 'k', 'path', _q('kids')), 0.5)})) child from fam) f where {_BORN} < 86400)
+select actor, day::int as day, k::int k, path, generation::int generation, floor(second)::bigint as second from fam""",
+)
 
 
 def stream_source(spark, d):
