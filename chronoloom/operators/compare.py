@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.operators import stats
+from chronoloom.operators.ranges import running
 
 
 def value_counts(a: DataFrame, b: DataFrame, key: str = "g") -> DataFrame:
@@ -17,8 +18,8 @@ def value_counts(a: DataFrame, b: DataFrame, key: str = "g") -> DataFrame:
 
 def cdf_table(counts: DataFrame, key: str = "g") -> DataFrame:
     """Both distribution functions at each distinct value, sizes and the next value."""
-    w, all_ = Window.partitionBy(key).orderBy("v"), Window.partitionBy(key)
-    x = counts.select(key, "v", "c1", "c2", F.sum("c1").over(w).alias("u1"), F.sum("c2").over(w).alias("u2"), F.sum("c1").over(all_).alias("n1"), F.sum("c2").over(all_).alias("n2"), F.lead("v").over(w).alias("next"))
+    x = running(counts, ["v"], (key,), "v", u1="c1", u2="c2")
+    x = x.select(key, "v", "c1", "c2", "u1", "u2", F.col("u1_all").alias("n1"), F.col("u2_all").alias("n2"), F.col("next_").alias("next"))
     return x.where("n1 > 0 and n2 > 0").withColumn("f1", F.col("u1") / F.col("n1")).withColumn("f2", F.col("u2") / F.col("n2"))
 
 
@@ -32,12 +33,10 @@ def two_sample_distances(a: DataFrame, b: DataFrame, key: str = "g", least: int
 
 
 def anderson_darling(a: DataFrame, b: DataFrame, key: str = "g", least: int = 8) -> DataFrame:
-    """The two-sample statistic with midranks (Scholz and Stephens 1987, eq. 7), before normalisation, and normalised."""
-    c = value_counts(a, b, key)
-    w, all_ = Window.partitionBy(key).orderBy("v"), Window.partitionBy(key)
-    n = F.sum(F.col("c1") + F.col("c2")).over(all_)
+    """The two-sample statistic with midranks (Scholz and Stephens 1987, eq. 7), before normalisation."""
     l = F.col("c1") + F.col("c2")
-    x = c.select(key, "v", "c1", "c2", l.alias("l"), n.alias("n"), F.sum("c1").over(all_).alias("n1"), F.sum("c2").over(all_).alias("n2"), (F.sum(l).over(w) - l / 2).alias("ba"), (F.sum("c1").over(w) - F.col("c1") / 2).alias("m1"), (F.sum("c2").over(w) - F.col("c2") / 2).alias("m2"))
+    x = running(value_counts(a, b, key), ["v"], (key,), s1="c1", s2="c2")
+    x = x.select(key, "v", "c1", "c2", l.alias("l"), (F.col("s1_all") + F.col("s2_all")).alias("n"), F.col("s1_all").alias("n1"), F.col("s2_all").alias("n2"), (F.col("s1") + F.col("s2") - l / 2).alias("ba"), (F.col("s1") - F.col("c1") / 2).alias("m1"), (F.col("s2") - F.col("c2") / 2).alias("m2"))
     den = F.col("ba") * (F.col("n") - F.col("ba")) - F.col("n") * F.col("l") / 4
     x = x.withColumn("den", den).where("den > 0")
     term = lambda m, k: F.col("l") / F.col("n") * F.pow(F.col("n") * F.col(m) - F.col("ba") * F.col(k), F.lit(2)) / F.col("den") / F.col(k)

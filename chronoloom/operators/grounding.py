@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.hashrand import SEED, STATIC, u
+from chronoloom.operators.ranges import running
 
 
 def finite(rows: DataFrame, col: str) -> DataFrame:
@@ -30,8 +31,7 @@ def shares(rows: DataFrame, weight: str) -> DataFrame:
 def weighted_median(rows: DataFrame, value: str, weight: str) -> DataFrame:
     """The least value whose running weight, doubled, reaches the total; on distinct values."""
     c = rows.groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
-    x = c.select("v", F.sum("w").over(Window.orderBy("v")).alias("run"), F.sum("w").over(Window.partitionBy()).alias("total"))
-    return x.where(F.col("run") * 2 >= F.col("total")).agg(F.min("v").alias("median"))
+    return running(c, ["v"], run="w").where(F.col("run") * 2 >= F.col("run_all")).agg(F.min("v").alias("median"))
 
 
 def dictionary_union(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:

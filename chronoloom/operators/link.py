@@ -6,15 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.hashrand import SEED, STATIC, u
+from chronoloom.operators.ranges import running
 
 
-def stream_ranks(edges: DataFrame, bucket: int = 86_400) -> DataFrame:
-    """Row number of each edge in (t, id) order, from running totals over time buckets; no window over all rows."""
-    x = edges.withColumn("b_", F.floor(F.col("t") / bucket))
-    sizes = x.groupBy("b_").agg(F.count("*").alias("n_"))
-    starts = sizes.select(F.col("b_").alias("c_"), F.coalesce(F.sum("n_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_"), F.sum("n_").over(Window.partitionBy()).alias("total"))
-    inner = F.row_number().over(Window.partitionBy("b_").orderBy("t", "id"))
-    return x.withColumn("k_", inner).join(starts, F.col("b_") == F.col("c_")).withColumn("rank", (F.col("start_") + F.col("k_")).cast("bigint")).drop("b_", "c_", "k_", "start_")
+def stream_ranks(edges: DataFrame) -> DataFrame:
+    """Row number of each edge in (t, id) order as rank, and the number of rows as total, from running totals over ranges."""
+    return running(edges, ["t", "id"], rank=F.lit(1).cast("bigint")).withColumnRenamed("rank_all", "total")
 
 
 def chronological_split(edges: DataFrame, train: float = 0.7, validate: float = 0.15) -> DataFrame:
@@ -50,8 +47,8 @@ def ranking_metrics(scored: DataFrame) -> DataFrame:
     Ties get their midrank for the AUC; for precision they come together at their score, as a threshold would.
     """
     c = scored.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    up, down, all_ = Window.orderBy("score"), Window.orderBy(F.desc("score")), Window.partitionBy()
-    x = c.select("score", "p", "q", F.coalesce(F.sum("q").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"), F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(all_).alias("np"), F.sum("q").over(all_).alias("nq"))
+    x = running(c, ["score"], ps="p", qs="q")
+    x = x.select("p", "q", (F.col("qs") - F.col("q")).alias("below"), (F.col("ps_all") - F.col("ps") + F.col("p")).alias("tp"), (F.col("qs_all") - F.col("qs") + F.col("q")).alias("fp"), F.col("ps_all").alias("np"), F.col("qs_all").alias("nq"))
     return x.agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / F.max(F.col("np") * F.col("nq")), 6).alias("auc"), F.round(F.sum(F.col("p") / F.col("np") * F.col("tp") / (F.col("tp") + F.col("fp"))), 6).alias("ap"))
 
 
@@ -73,7 +70,7 @@ def recent_neighbours(edges: DataFrame, k: int = 20) -> DataFrame:
 def degree_rank_codec(edges: DataFrame, col: str = "src", seed: int = SEED) -> DataFrame:
     """Values as (rank by frequency + u) / number of values, and back: id, code, decoded."""
     counts = edges.groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
-    ranked = counts.select("v", (F.row_number().over(Window.orderBy("c", "v")) - 1).alias("r"), F.count("*").over(Window.partitionBy()).alias("n"))
+    ranked = running(counts, ["c", "v"], r=F.lit(1).cast("bigint")).select("v", (F.col("r") - 1).alias("r"), F.col("r_all").alias("n"))
     x = edges.join(ranked, F.col(col) == F.col("v"))
     code = (F.col("r") + u(STATIC, 2, F.col("id"), seed=seed)) / F.col("n")
     x = x.select("id", code.alias("code"), "n")
@@ -104,8 +101,7 @@ def temporal_walks(edges: DataFrame, starts: DataFrame, steps: int, seed: int =
 def gap_buckets(gaps: DataFrame, buckets: int = 16) -> DataFrame:
     """Quantile buckets of log1p gaps and each bucket's mean, from counts of distinct gaps."""
     c = gaps.where("gap is not null").groupBy("gap").agg(F.count("*").alias("c"))
-    w, all_ = Window.orderBy("gap"), Window.partitionBy()
-    x = c.select("gap", "c", (F.sum("c").over(w) - F.col("c")).alias("before"), F.sum("c").over(all_).alias("n"))
+    x = running(c, ["gap"], upto="c").select("gap", "c", (F.col("upto") - F.col("c")).alias("before"), F.col("upto_all").alias("n"))
     b = F.floor(F.col("before") * buckets / F.col("n")).cast("int")
     return x.groupBy(b.alias("bucket")).agg(F.sum("c").alias("n"), F.round(F.sum(F.log1p("gap") * F.col("c")) / F.sum("c"), 5).alias("mean_log"))
 

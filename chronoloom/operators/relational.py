@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.ranges import running
 from chronoloom.session import cut
 
+
 def actor_filter(nodes: DataFrame, conditions: dict[str, str]) -> DataFrame:
     """Conjunction of equalities on categorical columns; a numeric or unknown column is an error."""
     for c in conditions:
@@ -28,20 +30,19 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return y.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"), F.sum(F.greatest(F.col("na") - F.col("nb"), F.lit(0))).alias("only_a"), F.sum(F.greatest(F.col("nb") - F.col("na"), F.lit(0))).alias("only_b"))
 
 
-def k_core(edges: DataFrame, k: int, rounds: int = 50) -> DataFrame:
+def k_core(edges: DataFrame, k: int) -> DataFrame:
     """Edges both of whose ends have total degree k or more among the edges that stay; repeated to the fixed point.
 
     Each round is a count of the ends and two semi joins; lineage is cut by checkpoint().
     """
     n = edges.count()
-    for _ in range(rounds):
+    while True:
         ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("d")).where(F.col("d") >= k).select("node")
         kept = cut(edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi"))
         m = kept.count()
         if m in (n, 0):
             return kept.select(*edges.columns)
         edges, n = kept.select(*edges.columns), m
-    raise RuntimeError(f"k_core: not at rest after {rounds} rounds")
 
 
 def round_down(t: Column, granularity: int) -> Column:
@@ -141,12 +142,8 @@ def feature_time_join(edges: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def dense_ids(edges: DataFrame) -> DataFrame:
-    """Ends of any type as consecutive numbers in order, numbered over distinct values by range-ordered buckets of a hash-free sort."""
+    """Ends of any type as consecutive numbers in order, numbered over distinct values by ranges."""
     names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct()
-    b = F.substring(F.col("name"), 1, 2)
-    rows = names.withColumn("b", b)
-    sizes = rows.groupBy("b").agg(F.count("*").alias("n"))
-    starts = sizes.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    ids = rows.join(starts, "b").select("name", (F.col("start") + F.row_number().over(Window.partitionBy("b").orderBy("name")) - 1).cast("bigint").alias("nid"))
+    ids = running(names, ["name"], nid=F.lit(1).cast("bigint")).select("name", (F.col("nid") - 1).alias("nid"))
     s, d = ids.select(F.col("name").alias("src"), F.col("nid").alias("src_id")), ids.select(F.col("name").alias("dst"), F.col("nid").alias("dst_id"))
     return edges.join(s, "src").join(d, "dst").select("src_id", "dst_id", "t")

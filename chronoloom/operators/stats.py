@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.ranges import ranged, running
+
 DAY = 86_400
 
 
@@ -68,14 +70,10 @@ def attribute_moments(edges: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def exact_quantiles(edges: DataFrame, by: str, col: str, probs: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """The value at rank floor((n - 1) p), for each group and p, from counts of distinct values.
-
-    Windows run over distinct values only, after a partial count, so repeated values don't lengthen them.
-    """
+    """The value at rank floor((n - 1) p), for each group and p, from counts of distinct values and their running totals by ranges."""
     counts = edges.where(F.col(col).isNotNull()).groupBy(by, col).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    ranked = counts.select(by, col, F.sum("c").over(w.orderBy(col)).alias("upto"), F.sum("c").over(w).alias("n"))
-    at = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * F.lit(p)), F.col(col))).alias(f"p{round(p * 100)}") for p in probs]
+    ranked = running(counts, [col], (by,), upto="c")
+    at = [F.min(F.when(F.col("upto") > F.floor((F.col("upto_all") - 1) * F.lit(p)), F.col(col))).alias(f"p{round(p * 100)}") for p in probs]
     return ranked.groupBy(by).agg(*at)
 
 
@@ -95,15 +93,14 @@ def top_nodes(edges: DataFrame, col: str, k: int = 20) -> DataFrame:
 def stream_gaps(edges: DataFrame) -> DataFrame:
     """Gap to the previous row of the whole stream, ordered by (t, id), without a window over all rows in one task.
 
-    Within a day the gap is a lag; the first row of a day takes the last time of the last day before that has rows, from
-    a window over one row a day.
+    Within a range of the order the gap is a lag; the first row of a range takes the last time of the range before, from
+    a window over one row a range.
     """
-    day = F.floor(F.col("t") / DAY)
-    w = Window.partitionBy("day").orderBy("t", "id")
-    rows = edges.select("t", "id", day.alias("day")).withColumn("prev", F.lag("t").over(w))
-    ends = rows.groupBy("day").agg(F.max("t").alias("day_end"))
-    before = ends.select(F.col("day").alias("d"), F.lag("day_end").over(Window.orderBy("day")).alias("before"))
-    return rows.join(before, rows.day == before.d, "left").select("t", "id", (F.col("t") - F.coalesce("prev", "before")).alias("gap"))
+    w = Window.partitionBy("part_").orderBy("t", "id")
+    rows = ranged(edges.select("t", "id"), "t", "id").withColumn("prev", F.lag("t").over(w))
+    ends = rows.groupBy("part_").agg(F.max("t").alias("end"))
+    before = ends.select(F.col("part_").alias("p"), F.lag("end").over(Window.orderBy("part_")).alias("before"))
+    return rows.join(before, rows.part_ == before.p).select("t", "id", (F.col("t") - F.coalesce("prev", "before")).alias("gap"))
 
 
 def stream_gap_moments(edges: DataFrame) -> DataFrame:
@@ -193,16 +190,20 @@ def simple_neighbours(edges: DataFrame) -> DataFrame:
 def clustering(edges: DataFrame, sample: int = 2000) -> DataFrame:
     """Mean local clustering coefficient over up to `sample` nodes of degree 2 or more, those with the smallest md5.
 
-    Triangles are counted at sampled nodes only: neighbour pairs (at most degree squared of a sampled node) are looked up
-    among the edges by an equi-join.
+    Triangles are counted at sampled nodes only. Edges point from the end of lower degree to the other, so that no node has
+    more than sqrt(2 edges) of them; those of a sampled node's neighbours are followed, and looked up among its neighbours.
+    Pairs of neighbours are never made.
     """
     e = simple_neighbours(edges)
     adj = e.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("x")).select("x.*")
-    nodes = adj.groupBy("v").agg(F.count("*").alias("k")).where("k >= 2")
+    degree = adj.groupBy("v").agg(F.count("*").alias("k"))
+    nodes = degree.where("k >= 2")
     picked = nodes.orderBy(F.md5(F.col("v").cast("string").cast("binary")), "v").limit(sample)
-    own = adj.join(F.broadcast(picked), "v")
-    wedges = own.alias("x").join(own.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.w") < F.col("y.w"))).select(F.col("x.v").alias("v"), F.col("x.w").alias("a"), F.col("y.w").alias("b"))
-    closed = wedges.join(e, ["a", "b"]).groupBy("v").agg(F.count("*").alias("tri"))
+    own = adj.join(F.broadcast(picked.select("v")), "v")
+    ka, kb = degree.select(F.col("v").alias("a"), F.col("k").alias("ka")), degree.select(F.col("v").alias("b"), F.col("k").alias("kb"))
+    up = F.struct("ka", "a") < F.struct("kb", "b")
+    pointed = e.join(ka, "a").join(kb, "b").select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("w"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("x"))
+    closed = own.join(pointed, "w").select("v", "x").join(own.withColumnRenamed("w", "x"), ["v", "x"]).groupBy("v").agg(F.count("*").alias("tri"))
     local = picked.join(closed, "v", "left").select((2 * F.coalesce("tri", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).alias("cc"))
     return local.agg(F.count("*").alias("n"), F.round(F.avg("cc"), 6).alias("clustering"))
 

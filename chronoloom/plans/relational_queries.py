@@ -9,6 +9,8 @@ from chronoloom.plans.stats_queries import ev
 from chronoloom.sources.tables import EV, SP, events_edges, load, supplier_edges
 
 QUERIES: dict = {}
+#: Least degree in the query of the iterated core; with it, several rounds take edges away.
+CORE = 120
 
 
 def add(name: str, run, sql: str | None = None) -> None:
@@ -37,13 +39,13 @@ add(
 )
 def _core_sql(k: int, rounds: int) -> str:
     """The rounds unrolled; more than are needed change nothing."""
-    ctes = [f"{EV}, e0 as (select id, src, dst from ev where event_type = 'signup')"]
+    ctes = [f"{EV}, e0 as (select id, src, dst from ev)"]
     for r in range(rounds):
-        ctes.append(f"c{r} as (select node from (select src node from e{r} union all select dst from e{r}) group by node having count(*) >= {k}), e{r + 1} as (select * from e{r} where src in (from c{r}) and dst in (from c{r}))")
+        ctes.append(f"c{r} as (select node from (select src node from e{r} union all select dst from e{r}) group by node having count(*) >= {k}), e{r + 1} as materialized (select * from e{r} where src in (from c{r}) and dst in (from c{r}))")
     return f"with {', '.join(ctes)} select id, src, dst from e{rounds}"
 
 
-add("kcore_filter", lambda spark, d: R.k_core(events_edges(spark, d).where("event_type = 'signup'").select("id", "src", "dst"), 14), _core_sql(14, 12))
+add("kcore_filter", lambda spark, d: R.k_core(events_edges(spark, d).select("id", "src", "dst"), CORE), _core_sql(CORE, 16))
 add("granularity", ev(lambda e: e.select("id", R.round_down(F.col("t"), 3600).alias("hour_t"))), f"with {EV} select id, t - t % 3600 hour_t from ev")
 add(
     "interval_overlap",

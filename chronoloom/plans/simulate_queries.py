@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from chronoloom.functions.hashrand import ACTOR, NODE, TOPOLOGY, exponential_sql, geometric_sql, lognormal_sql, pick_sql, poisson_cdf, poisson_sql, real, u_sql, weights_cdf
+from chronoloom.functions.hashrand import ACTOR, NODE, TOPOLOGY, exponential_sql, geometric_sql, lognormal_sql, normal_sql, pareto_sql, pick_sql, poisson_cdf, poisson_sql, real, u_sql, weights_cdf
 from chronoloom.operators import detect as D
 from chronoloom.plans import arrivals as A
 from chronoloom.plans import simulate as M
 from chronoloom.plans import topology as T
 from chronoloom.plans.check_queries import WEEK, _limit_sql
 from chronoloom.plans.stats_queries import ev
-from chronoloom.rules.model import load
+from chronoloom.rules.model import domains, load
 from chronoloom.session import shared_dir
 from chronoloom.sources.tables import EV, events_edges
 from chronoloom.sources.tables import load as table
@@ -111,6 +111,63 @@ def _account_sql() -> str:
 
 
 add("gen_nodes", lambda spark, d: world(spark).nodes("account").select("id", "type", "jurisdiction", "kyc_level", "risk_tier", F.round("age_days", 4).alias("age_days")), f"select id, {_account_sql()} from (select unnest(range(2700)) id)")
+def domain_nodes(spark, domain: str, nodes: int = 3000):
+    """type, id, name, number (as its asinh, as values span many orders), text: every attribute and initial state of every entity."""
+    rules, out = load(domain), None
+    for t in rules["entity_types"]:
+        n = M.nodes_of(spark, rules, nodes, t["name"])
+        values = []
+        for c in n.columns[1:]:
+            is_number = n.schema[c].dataType.typeName() == "double"
+            number, text = (F.round(F.asinh(F.col(c)), 6), F.lit(None).cast("string")) if is_number else (F.lit(None).cast("double"), F.col(c).cast("string"))
+            values.append(F.struct(F.lit(c).alias("name"), number.alias("number"), text.alias("text")))
+        rows = n.select(F.lit(t["name"]).alias("type"), "id", F.inline(F.array(*values)))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+def _dist_sql(dist, *about: str) -> str:
+    p, x = dist.value, lambda *more: u_sql(NODE, *about, *map(_q, more))
+    match dist.tag:
+        case "constant":
+            return real(float(p["value"]))
+        case "uniform":
+            return f"({real(float(p['min']))} + {x()} * {real(float(p['max']) - float(p['min']))})"
+        case "normal":
+            return normal_sql(x("a"), x("b"), p["mean"], p["std"])
+        case "log_normal":
+            return lognormal_sql(x("a"), x("b"), p["mu"], p["sigma"])
+        case "exponential":
+            return exponential_sql(x(), 1 / p["rate"])
+        case "pareto":
+            return pareto_sql(x(), p["scale"], p["shape"])
+        case "poisson":
+            return f"{poisson_sql(x(), p['lambda'])}::double"
+    raise ValueError(dist.tag)
+
+
+def _domain_sql(domain: str, nodes: int = 3000) -> str:
+    """From the domain's shares, distributions and weights alone."""
+    rules, out = load(domain), []
+    for t in rules["entity_types"]:
+        start, n = M.layout(rules, nodes)[t["name"]]
+        ids = f"(select unnest(range({start}, {start + n})) id)"
+        values = [(a["name"], a["kind"], str(k)) for k, a in enumerate(t.get("attributes") or [])] + [(s["name"], s["init"], str(1000 + k)) for k, s in enumerate(t.get("state") or [])]
+        for name, kind, k in values:
+            number, text = "null::double", "null::varchar"
+            if kind.tag == "flag":
+                text = f"case when {u_sql(NODE, 'id', k)} < {real(float(kind['p']))} then 'true' else 'false' end"
+            elif kind.tag in ("categorical", "ordinal", "taxonomy"):
+                names = [str(v) for v in kind[{"categorical": "values", "ordinal": "tiers", "taxonomy": "paths"}[kind.tag]]]
+                text = f"{names}[{pick_sql(u_sql(NODE, 'id', k), weights_cdf(kind['weights']))} + 1]"
+            else:
+                number = f"round(asinh({_dist_sql(kind['dist'] if kind.tag == 'numeric' else kind, 'id', k)}), 6)"
+            out.append(f"select '{t['name']}' as type, id, '{name}' as name, {number} as number, {text} as text from {ids}")
+    return " union all ".join(out)
+
+
+for _domain in domains():
+    add(f"gen_nodes_{_domain}", lambda spark, d, x=_domain: domain_nodes(spark, x), _domain_sql(_domain))
 add("gen_edges", lambda spark, d: world(spark).edges().groupBy("event_type", "label").agg(F.count("*").alias("n")))
 add("gen_ground_truth", lambda spark, d: world(spark).ground_truth().select("id", "intent", "n_members", "community", "start_t", "end_t"))
 add("gen_final_state", lambda spark, d: (lambda w: w.final_state(w.edges()).groupBy("var").agg(F.count("*").alias("n"), F.round(F.avg("value"), 2).alias("mean")))(world(spark, edges=15_000)))

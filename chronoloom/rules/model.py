@@ -249,6 +249,10 @@ class _Checker:
             if t.get(k) is not None:
                 self.need(isinstance(t[k], list) and len(t[k]) == n and all(_number(x) and x >= 0 for x in t[k]) and sum(t[k]) > 0, f"{path}.timing.{k}", f"must be {n} numbers, not all 0")
         self.need(0 <= t.get("burst_p", 0) <= 1, f"{path}.timing.burst_p", "must be in [0, 1]")
+        ratio, arrival = t.get("branching_ratio", 0), t.get("arrival")
+        self.need(_number(ratio) and 0 <= ratio < 1, f"{path}.timing.branching_ratio", "must be in [0, 1)")
+        shaped = not (isinstance(arrival, Tagged) and arrival.tag == "weibull") or (_number(arrival.get("shape")) and arrival["shape"] > 0)
+        self.need(shaped, f"{path}.timing.arrival", "the shape must be over 0")
         if self.need(b["events"] and sum(e.get("weight", 0) for e in b["events"]) > 0 and all(_number(e.get("weight")) and e["weight"] >= 0 for e in b["events"]), f"{path}.events", "weights must be finite, not negative and not all 0"):
             for e in b["events"]:
                 if not self.need(e.get("event") in events, f"{path}.events", f"no such event: {e.get('event')}"):

@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the one that the context was given; a temporary one only where both are unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share: a temporary one is of one machine")
         found = "file://" + tempfile.mkdtemp(prefix="chronoloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -61,12 +63,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Rows of an Arrow batch that goes to a Python worker, where the session has Spark's own default: texts and arrays are wide rows, and
+#: a worker holds a batch as Arrow, as Python objects and as its result.
+BATCH_ROWS = 2000
+
+
 def shipping(run):
-    """run(spark, ...) with the package shipped first."""
+    """run(spark, ...) with the package shipped first, and Arrow batches that fit wide rows."""
 
     @functools.wraps(run)
     def shipped(spark, *args, **kwargs):
         ship(spark)
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         return run(spark, *args, **kwargs)
 
     return shipped
