@@ -53,6 +53,25 @@ def sign_of(gram: Column) -> Column:
     return F.when(F.conv(F.substring(F.md5(gram.cast("binary")), 9, 1), 16, 10).cast("int") >= 8, -1).otherwise(1)
 
 
+#: Eight heights of a bar.
+BARS = "▁▂▃▄▅▆▇█"
+
+
+def sparkline(counts: Column) -> Column:
+    """An array of counts as a line of bars, the largest the highest; empty for an empty array."""
+    top = F.array_max(counts)
+    level = lambda c: F.least(F.floor(c * len(BARS) / F.greatest(top, F.lit(1))), F.lit(len(BARS) - 1)).cast("int")
+    return F.concat_ws("", F.transform(counts, lambda c: F.substr(F.lit(BARS), level(c) + 1, F.lit(1))))
+
+
+def human_duration(seconds: Column) -> Column:
+    """Seconds as 0.5s, 42s, 3m 20s, 2h 5m or 4d 3h."""
+    s = F.floor(seconds).cast("bigint")
+    two = lambda big, a, small, b: F.concat(F.floor(s / big).cast("string"), F.lit(a + " "), F.floor(F.pmod(s, F.lit(big)) / small).cast("string"), F.lit(b))
+    short = F.concat(F.format_string("%.1f", seconds.cast("double")), F.lit("s"))
+    return F.when(seconds < 1, short).when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, two(60, "m", 1, "s")).when(s < 86_400, two(3600, "h", 60, "m")).otherwise(two(86_400, "d", 3600, "h"))
+
+
 def human_bytes(n: Column) -> Column:
     units = ["B", "KiB", "MiB", "GiB", "TiB"]
     out = None

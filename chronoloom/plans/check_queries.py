@@ -113,4 +113,25 @@ add(
     lambda spark, d: P.motif_distance(supplier_edges(spark, d).where("id % 2 = 0"), supplier_edges(spark, d).where("id % 2 = 1"), 60 * 86_400),
     f"with {SP}, {_motif_share(1)}, {_motif_share(2)} select round(sum(abs(coalesce(h1.p, 0) - coalesce(h2.p, 0))), 6) l1 from h1 full join h2 using (motif)",
 )
-add("fidelity_score", lambda spark, d: P.scorecard(*halves(spark, d)))
+
+
+def _scalars_sql(k: int) -> str:
+    return f"""p{k} as (select src, dst, count(*) n from e{k} group by 1, 2), v{k} as (select count(distinct node) n from (select src node from e{k} union all select dst from e{k})),
+b{k} as (select gap, lag(gap) over (partition by src order by t, id) gap_before from g0{k}),
+s{k} as (select round(m / (v * (v - 1)), 8) density, round(r / np, 6) reciprocity, round(2 * m / v, 6) mean_degree, round((sd - av) / (sd + av), 6) burstiness, mem memory, round(greatest(0, 1 - np / m), 6) repeat_ratio
+from (select (select count(*) from e{k}) m, (select n from v{k}) v, (select count(*) from p{k}) np, (select count(*) from p{k} a where exists (select 1 from p{k} b where b.src = a.dst and b.dst = a.src)) r,
+(select stddev_samp(gap) from b{k}) sd, (select avg(gap) from b{k}) av, (select round(corr(gap_before::double, gap::double), 6) from b{k} where gap is not null and gap_before is not null) mem))"""
+
+
+_relative = lambda c: f"case when abs(s1.{c}) + abs(s2.{c}) > 0 then abs(s1.{c} - s2.{c}) / (abs(s1.{c}) + abs(s2.{c})) else 0 end"
+_bounded = lambda c, scale: f"least(1.0, abs(s1.{c} - s2.{c}) / {scale})"
+_DISTANCES = [("density", _relative("density")), ("reciprocity", _bounded("reciprocity", 1.0)), ("mean_degree", _relative("mean_degree")), ("burstiness", _bounded("burstiness", 2.0)), ("memory", _bounded("memory", 2.0)), ("repeat_ratio", _bounded("repeat_ratio", 1.0))]
+add(
+    "fidelity_score",
+    lambda spark, d: P.scorecard(*halves(spark, d)),
+    _two(
+        f"""{_scalars_sql(1)}, {_scalars_sql(2)}, r as (select g metric, round(case when least(max(n1), max(n2)) >= 5 then round(max(abs(f1 - f2)), 6) end, 4) distance from f group by g
+union all {" union all ".join(f"select '{name}', round({d}, 4) from s1, s2" for name, d in _DISTANCES)})
+select metric, distance from r union all select 'score', round(1 - avg(distance), 4) from r"""
+    ),
+)

@@ -54,9 +54,9 @@ def write_parquet(edges: DataFrame, path: str, rows_per_file: int = 4_000_000, f
     ranged.sortWithinPartitions(*order).write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Edges of all shards; unsigned ids (read as decimals) become bigint. Extra columns are kept."""
-    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    df = spark.read.option("recursiveFileLookup", "true").parquet(*([path] if isinstance(path, str) else path))
     return df.select(*[F.col(c).cast("bigint").alias(c) if kind.startswith("decimal(20") else F.col(c) for c, kind in df.dtypes])
 
 
@@ -66,20 +66,80 @@ def load_edges(spark: SparkSession, path: str, event_type: str | None = None) ->
     return (df if event_type is None else df.where(F.col("event_type") == event_type)).select("src", "dst", F.col("t").cast("double").alias("t"))
 
 
-def read_edge_list(spark: SparkSession, path: str, src: int = 0, dst: int = 1, t: int | None = None, scale: float = 1.0) -> DataFrame:
-    """A foreign edge list: delimiter (comma, tab or blanks) and header found from its first line, time the last column."""
+def read_stream_order(spark: SparkSession, path: str) -> DataFrame:
+    """Edges with id, their place in the written order: files by name, rows within."""
+    meta = spark.read.option("recursiveFileLookup", "true").parquet(path).select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("row_"))
+    files = [r[0] for r in meta.select("file_").distinct().orderBy("file_").collect()]  # one name a file
+    number = spark.createDataFrame(list(enumerate(files)), "file_no bigint, file_name string")
+    out = meta.join(F.broadcast(number), F.col("file_") == F.col("file_name"))
+    return out.withColumn("id", F.col("file_no") * F.lit(1 << 40) + F.col("row_")).drop("file_", "row_", "file_no", "file_name")
+
+
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges of all shards (edges_*) of a folder, or of its one table edges; FileNotFoundError if it has neither."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "edges*")) or []
+    names = sorted(str(f.getPath()) for f in found if f.getPath().getName().startswith(("edges_", "edges.")) or f.getPath().getName() == "edges")
+    if not names:
+        raise FileNotFoundError(f"{folder}: no edges or edges_* in it")
+    return read_parquet(spark, names)
+
+
+def tee(df: DataFrame, *writes) -> None:
+    """One computation, several sinks: the rows are cut from their lineage once, and each function writes from there."""
+    from chronoloom.session import cut
+
+    rows = cut(df)
+    for write_one in writes:
+        write_one(rows)
+
+
+def counted(df: DataFrame, name: str = "rows"):
+    """df that counts its rows as they pass, and the Observation that holds the count after the first action."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def nodes_csv(nodes: DataFrame, state: list[str]) -> Column:
+    """A node table's line: id, attributes, then state variables as numbers."""
+    kinds = dict(nodes.dtypes)
+    cell = lambda c: number_text(F.col(c).cast("double")) if c in state or kinds[c] in ("double", "float") else F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat_ws(",", *[cell(c) for c in nodes.columns])
+
+
+def write_nodes_csv(nodes: DataFrame, path: str, state: list[str]) -> None:
+    nodes.sort("id").select(nodes_csv(nodes, state).alias(",".join(nodes.columns))).write.mode("overwrite").option("header", True).option("quote", "").option("sep", "\x01").csv(path)
+
+
+def read_edge_list(spark: SparkSession, path: str, src: int | str = 0, dst: int | str = 1, t: int | str | None = None, scale: float = 1.0) -> DataFrame:
+    """A foreign edge list: delimiter (comma, tab or blanks) and header found from its first line. Columns by number or by
+    name; time is the last column if it isn't given, and with t="index" the rows' order in the file."""
+    from chronoloom.operators.ranges import running
     from chronoloom.operators.relational import dense_ids
 
-    raw = spark.read.text(path).where("value <> '' and not startswith(value, '#') and not startswith(value, '%')")
-    first = raw.first()
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    raw = raw.where("value <> '' and not startswith(value, '#') and not startswith(value, '%')")
+    first = raw.orderBy("file", "at").first()
     line = first[0] if first else ""
     sep = "," if "," in line else "\t" if "\t" in line else r"\s+"
     import re
 
     parts = re.split(sep, line.strip())
-    t = len(parts) - 1 if t is None else t
-    rows = raw.select(F.split(F.trim("value"), sep).alias("f"))
-    named = rows.select(F.get("f", F.lit(src)).alias("src"), F.get("f", F.lit(dst)).alias("dst"), (F.get("f", F.lit(t)).try_cast("double") * scale).alias("t"))
+    by_name = any(isinstance(c, str) and c != "index" for c in (src, dst, t))
+    place = lambda c: parts.index(c) if isinstance(c, str) and c != "index" else c
+    if by_name:
+        raw = raw.where(F.col("value") != line)
+    src, dst, t = place(src), place(dst), len(parts) - 1 if t is None else place(t)
+    rows = raw.select(F.split(F.trim("value"), sep).alias("f"), "file", "at")
+    ends = (F.get("f", F.lit(src)).alias("src"), F.get("f", F.lit(dst)).alias("dst"))
+    if t == "index":
+        rows = running(rows.select(*ends, "file", "at"), ["file", "at"], n=F.lit(1).cast("bigint"))
+        named = rows.select("src", "dst", ((F.col("n") - 1) * scale).cast("double").alias("t"))
+    else:
+        named = rows.select(*ends, (F.get("f", F.lit(t)).try_cast("double") * scale).alias("t"))
     return dense_ids(named.where("t is not null")).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "t")
 
 
