@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,98 @@ def test_tiers_can_be_overridden_and_counted(spark):
     assert world.final_state(e).where("var = 'cum_rating' and value > 0").count() > 0
 
 
+@pytest.mark.parametrize("mean,gap", [(2, 300), (0.5, 300), (3, 20_000), (8, 40_000)])
+def test_burst_survivors_against_simulation(mean, gap):
+    rng, n = np.random.default_rng(5), 100_000
+    at, alive, inside = rng.random(n) * 86_400, np.ones(n, bool), 0
+    while alive.any():
+        alive &= rng.random(n) < mean / (1 + mean)
+        at += rng.exponential(gap, n)
+        alive &= at < 86_400
+        inside += alive.sum()
+    assert simulate.burst_survivors(mean, gap) == pytest.approx(inside / n, rel=0.02)
+
+
+def test_poisson_counts_of_any_mean(spark):
+    """Moments, and the inverse of the distribution function at given draws; tables that begin late, and means that differ by row."""
+    from chronoloom.functions.hashrand import poisson, poisson_table
+
+    for mean in (0.3, 39.0, 41.0, 499.0, 501.0, 5000.0):
+        lo, cdf = poisson_table(mean)
+        mass = np.diff([0.0, *cdf])
+        k = lo + np.arange(len(cdf))
+        assert cdf[-1] > 1 - 1e-9 and (mass * k).sum() == pytest.approx(mean, rel=1e-6) and (mass * (k - mean) ** 2).sum() == pytest.approx(mean, rel=1e-5)
+        rows = spark.createDataFrame([((i + 0.5) / 200, mean) for i in range(200)], "x double, mean double")
+        out = rows.select("x", poisson(F.col("x"), mean).alias("a"), simulate.poisson_of(F.col("x"), F.col("mean")).alias("b")).collect()
+        want = [lo + int(np.searchsorted(cdf, r.x, "right")) for r in out]
+        assert [r.a for r in out] == want and sum(r.b != w for r, w in zip(out, want, strict=True)) <= 2  # Stirling's series may turn a tie
+
+
+def test_spaced_and_excited_arrivals_keep_the_budget(spark, rules):
+    other = model.loads(model.dumps(rules))
+    for b, timing in zip(other["behaviors"], ({"arrival": model.Tagged("weibull", {"shape": 0.6})}, {"branching_ratio": 0.5, "excitation_decay_s": 600.0}, {}), strict=True):
+        b["timing"].update(timing)
+    assert not model.validate(other)
+    world, e = run(spark, other, anomalies=False, nodes=800, edges=6000)
+    rows = e.select("src", "dst", "t").collect()
+    assert abs(len(rows) / 6000 - 1) < 0.12 and sorted(rows) == sorted(run(spark, other, anomalies=False, nodes=800, edges=6000)[1].select("src", "dst", "t").collect())
+    other["behaviors"][1]["timing"]["branching_ratio"] = 1.0
+    assert model.validate(other)
+
+
+def test_cascades_are_campaigns_of_their_own(spark, rules):
+    other = model.loads(model.dumps(rules))
+    for a in other["adversaries"]:
+        a["cascade_p"] = 1.0 if a["intent"] == "layering" else 0.0
+    world = simulate.World(spark, other, simulate.Config(nodes=3000, edges=20_000, days=14, prevalence=0.2))
+    rows = {r.id: r for r in world.campaigns().collect()}
+    children = [r for r in rows.values() if r.parent is not None]
+    n = sum(r.intent == "layering" and r.parent is None for r in rows.values())
+    assert len(children) == -(-n // 2) > 1 and sorted(rows) == list(range(len(rows)))
+    for r in children:
+        assert r.intent == "layering" and r.start_t == rows[r.parent].end_t and r.community == rows[r.parent].community and r.members != rows[r.parent].members
+    assert all(a != b for r in rows.values() for a, b in zip(r.members, r.members[1:], strict=False))
+    assert sum(r.cascade for r in world.ground_truth().collect()) == len(children)
+
+
+def test_super_hubs_are_not_recruited(spark):
+    world = simulate.World(spark, model.load("crypto"), simulate.Config(nodes=2000, edges=20_000, days=14, prevalence=0.3))
+    hot = {k for k, b in enumerate(world.rules["behaviors"]) if b["name"] in ("exchange_hot_wallet", "mev_bot")}
+    assert set(world.heavy["eoa"]) == hot
+    hubs = {r.actor for r in world.actors.where(F.col("behavior").isin(list(hot))).select("actor").collect()}
+    assert len(hubs) > 100 and not hubs & {r.node for r in world.marked().collect()}
+
+
+def test_final_state_with_settings(spark, rules):
+    other = model.loads(model.dumps(rules))
+    withdrawal = next(e for e in other["event_types"] if e["name"] == "cash_withdrawal")
+    withdrawal["effects"].append(model.Tagged("set_src", {"var": "txn_count", "value": 100.0}))
+    assert not model.validate(other)
+    world, e = run(spark, other, nodes=300, edges=3000, anomalies=False)
+    state = {(r.id, v): r[v] for t in world.types for r in world.nodes(t).collect() for v in [s["name"] for s in world.types[t].get("state") or []]}
+    for r in sorted(e.collect(), key=lambda r: (r.t, r.src, r.dst, r.event_type)):
+        for f in world.events[r.event_type].get("effects") or []:
+            key = (r.dst if f.tag.endswith("dst") else r.src, f["var"])
+            state[key] = f["value"] if f.tag.startswith("set") else state[key] + (1 if f.tag.startswith("inc") else (-1 if f.tag.startswith("sub") else 1) * float(r[f["from_attr"]]))
+    got = {(r.node, r["var"]): r.value for r in world.final_state(e).collect()}
+    assert got.keys() == state.keys() and all(got[k] == pytest.approx(v, abs=1e-4) for k, v in state.items())
+    assert any(v >= 100 for (_, name), v in state.items() if name == "txn_count")
+
+
+@pytest.mark.parametrize("domain", ["crypto", "cyber", "healthcare"])
+def test_every_domain_makes_a_valid_stream(spark, domain):
+    world, e = run(spark, model.load(domain), nodes=1500, edges=15_000, days=10, prevalence=0.1)
+    types = {x["name"]: x for x in world.rules["event_types"]}
+    where = F.lit(False)
+    for name, x in types.items():
+        (s, n), (d, m) = world.layout[x["src"]], world.layout[x["dst"]]
+        where = where | ((F.col("event_type") == name) & F.col("src").between(s, s + n - 1) & F.col("dst").between(d, d + m - 1))
+    x = e.agg(F.count("*").alias("n"), F.count_if(where).alias("ok"), F.count_if(F.col("label") != "normal").alias("bad"), F.collect_set("label").alias("labels"), F.collect_set("event_type").alias("types")).first()
+    assert x.n == x.ok > 8000 and 0 < x.bad < 0.5 * x.n
+    assert set(x.labels) <= {"normal", *(a["intent"] for a in world.rules["adversaries"])} and len(x.labels) > 3
+    assert set(x.types) >= {ev["event"] for b in world.rules["behaviors"] for ev in b["events"] if ev["weight"] > 0.2}
+
+
 def test_counted_stages_do_not_follow_the_budget(spark, rules):
     other = model.loads(model.dumps(rules))
     stage = other["adversaries"][0]["stages"][0]
