@@ -422,3 +422,17 @@ def test_cli(capsys, tmp_path):
     assert cli.main(["domains"]) == 0 and "finance" in capsys.readouterr().out
     assert cli.main(["doctor"]) == 0
     assert cli.main(["generate", "--preset", "tiny", "--dry-run", "--out", str(tmp_path)]) == 0
+
+
+def test_sessions_in_whole_seconds_and_strict_gaps(spark, tmp_path):
+    """Pauses of exactly the gap, of less in microseconds alone, equal times, no time, no user."""
+    con = duckdb.connect()
+    con.execute(f"""copy (select row_number() over () event_id, ts::timestamp ts, u::bigint user_id, 'view' event_type, 1.0::double as value, '{{"k": 1}}' props from (values
+        ('2024-01-01 00:00:00', 1), ('2024-01-01 06:00:00', 1), ('2024-01-01 11:59:59', 1), ('2024-01-01 11:59:59', 1),
+        ('2024-01-01 00:00:00.9', 2), ('2024-01-01 06:00:00.1', 2), ('2024-01-01 12:00:00', 2), (null, 2), (null, 2),
+        ('2024-01-01 00:00:00.1', 3), ('2024-01-01 05:59:59.9', 3), (null, 4), ('2024-01-01 01:00:00', null), ('2024-01-01 02:00:00', null)) t(ts, u))
+        to '{tmp_path}/events.parquet' (format parquet)""")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    run, sql = ENTRIES["sessions"]
+    want = rows(["src", "start", "n"], con.execute(sql).fetchall())
+    assert rows(["src", "start", "n"], run(spark, str(tmp_path)).select("src", "start", "n").collect()) == want and len(want) == 10
