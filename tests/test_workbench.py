@@ -436,3 +436,13 @@ def test_sessions_in_whole_seconds_and_strict_gaps(spark, tmp_path):
     run, sql = ENTRIES["sessions"]
     want = rows(["src", "start", "n"], con.execute(sql).fetchall())
     assert rows(["src", "start", "n"], run(spark, str(tmp_path)).select("src", "start", "n").collect()) == want and len(want) == 10
+
+
+def test_weighted_picks_never_make_units_into_rows(spark):
+    """Weights that would be 3 billion units; the picks are those of running totals, a null node's last."""
+    weights = [(5, 2_000_000_000), (3, 1), (9, 999_999_990), (None, 9)] + [(k, 1) for k in range(100, 1100)]
+    got = topology.weighted_picks(spark, spark.createDataFrame(weights, "node bigint, w bigint"), 3000, 11, "src").collect()
+    order = sorted(weights, key=lambda x: (x[0] is None, x[0] or 0))
+    ends = np.cumsum([w for _, w in order])
+    draws = spark.range(3000).select("id", F.floor(H.u(H.BASELINE, 11, F.col("id")) * F.lit(int(ends[-1]))).alias("x")).collect()
+    assert sorted((r.id, r.src) for r in got) == sorted((d.id, order[int(np.searchsorted(ends, d.x, "right"))][0]) for d in draws)
