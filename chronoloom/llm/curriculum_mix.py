@@ -97,7 +97,7 @@ def passes(max_passes: int = 2) -> Column:
     def one(i: int) -> Column:
         before = F.col("starts") + F.lit(i) * F.col("source_size")
         words = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target")) - before)).cast("bigint")
-        return F.struct(F.lit(i).alias("pass"), words.alias("words"), due_time(before / F.col("target"), F.col("slope")).alias("position"))
+        return F.struct(F.lit(i).alias("pass"), words.alias("words"), F.when(words > 0, due_time(before / F.col("target"), F.col("slope"))).alias("position"))
 
     return F.filter(F.array(*[one(i) for i in range(max_passes)]), lambda x: x["words"] > 0)
 
@@ -108,23 +108,22 @@ def schedule(placed: DataFrame, max_passes: int = 2) -> DataFrame:
     return spread.select("doc_id", "source", "taking.pass", "taking.words", "taking.position").orderBy("position", "doc_id", "pass")
 
 
-def _digest() -> list:
-    return ["doc_id", "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, due_time(F.col("starts") / F.col("target"), F.col("slope"))).alias("position")]
-
-
-def mix_digest(docs: DataFrame) -> DataFrame:
-    """A row per document, with its first position; its columns are those of ORACLE. Untaken documents have taken 0 and a null position."""
-    return place_documents(docs).select(*_digest())
-
-
 def mix_stage(docs: DataFrame) -> DataFrame:
-    """The pipeline's last stage: a row per document with its place in the curriculum, sorted by first position.
+    """The operator's result, which is the pipeline's last stage: a row per document with its place in the curriculum, range-sorted
+    by first position.
 
     passes has an entry for each pass in which the document is taken, with the words taken and the position, so exploding it
-    gives the rows of schedule(). A document with taken = 0 isn't in the mix: it has no passes and a null position, and
-    stays, last, so that the result accounts for every document of the stage before."""
-    placed = place_documents(docs)
-    return placed.select(*_digest(), passes().alias("passes")).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    gives the rows of schedule(); taken and position are read from it. A document with taken = 0 isn't in the mix: it has no
+    passes and a null position, and stays, last, so that the result accounts for every document of the stage before."""
+    placed = place_documents(docs).withColumn("passes", passes())
+    taken = F.aggregate("passes", F.lit(0).cast("bigint"), lambda total, x: total + x["words"])
+    position = F.when(F.size("passes") > 0, F.col("passes")[0]["position"])
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), position.alias("position"), "passes").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mix_digest(docs: DataFrame) -> DataFrame:
+    """The rows of mix_stage in its order, with the columns of ORACLE: all passes' words as taken, and the first one's position."""
+    return mix_stage(docs).drop("passes")
 
 
 ORACLE = r"""

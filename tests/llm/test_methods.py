@@ -771,6 +771,18 @@ def test_each_operator_has_one_query():
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
 
 
+def test_mix_digest_is_the_sorted_schedule(spark):
+    """op8's rows come in the curriculum's order, untaken ones last, and sum up the schedule's passes."""
+    rows = [(k, " ".join(["w"] * (k % 7)), "abc"[k % 3]) for k in range(300)] + [(7, "w w", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = curriculum_mix.mix_digest(docs).collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in sorted(got, key=lambda r: (r.position is None, r.position or 0, r.doc_id))]
+    plan = curriculum_mix.schedule(curriculum_mix.place_documents(docs)).toPandas()
+    assert plan["pass"].max() == 1 and sum(r.taken for r in got) == plan.words.sum() and len(got) == len(rows)
+    first = plan[plan["pass"] == 0]
+    assert sorted((r.doc_id, r.position) for r in got if r.taken) == sorted(zip(first.doc_id, first.position, strict=True))
+
+
 @pytest.mark.parametrize("name", ["op4_warc_segments", "op6_minhash_bbit", "op7_rp_forest", "op8_curriculum_mix", "op9_bm25_decon"])
 def test_queries_equal_their_oracles(spark, name):
     import duckdb
