@@ -4,7 +4,9 @@ import base64
 import hashlib
 import itertools
 import math
+import pickle
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -763,6 +765,26 @@ def test_weights_are_learned_from_long_texts(spark, monkeypatch):
     assert max(seen) > 12_000
 
 
+def test_large_tables_are_files(spark):
+    """Tables of 30 million slots take no memory of the process, and a model that is sent to tasks doesn't carry them."""
+    anon = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+    model = ctx_mix_lm.BitModel(np.ones(40), ctx_mix_lm.grown(ctx_mix_lm.WORD_TABLES, 16 * ctx_mix_lm.TABLE_BITS))
+    symbols = np.tile(np.arange(40), 500)
+    context = [ctx_mix_lm._hash(np.roll(symbols, k + 1)) for k in range(6)]
+    held = anon()
+    into = model.new_counts()
+    model.count(symbols, context, into)
+    model.set_counts(into[:, 0], into[:, 1])
+    assert anon() - held < 100 < into.nbytes / 2**20
+    assert into.sum() == 6 * model.length[symbols].sum() and len(pickle.dumps(model)) < 100_000
+
+
+def test_counts_as_bytes_are_close():
+    n = np.unique(np.geomspace(1, 10**9, 5000).astype(np.int64))
+    got = ctx_mix_lm._COUNT_OF[ctx_mix_lm._count_codes(n)]
+    assert (got[n < 16] == n[n < 16]).all() and (abs(got / n - 1) < 0.07).all() and ctx_mix_lm._count_codes(np.zeros(1))[0] == 0
+
+
 # all --------------------------------------------------------------------------------------------------------------
 
 
