@@ -785,6 +785,20 @@ def test_counts_as_bytes_are_close():
     assert (got[n < 16] == n[n < 16]).all() and (abs(got / n - 1) < 0.07).all() and ctx_mix_lm._count_codes(np.zeros(1))[0] == 0
 
 
+def test_weights_are_learned_from_all_training_texts(spark, monkeypatch):
+    """What the tasks learned from, joined, is every bit of every training text, whatever the sample that learning begins with."""
+    monkeypatch.setattr(ctx_mix_lm, "SAMPLE_TEXTS", 1)
+    learned = []
+    join = ctx_mix_lm.BitModel.join
+    monkeypatch.setattr(ctx_mix_lm.BitModel, "join", lambda self, parts: (learned.append((self, parts)), join(self, parts))[1])
+    rng = random.Random(17)
+    docs = spark.createDataFrame([(i % 150, " ".join(rng.choice(["one", "two", "three", f"x{rng.randrange(10**6)}"]) for _ in range(i % 40))) for i in range(200)] + [(500, None)], "doc_id bigint, text string")
+    lm = ctx_mix_lm.fit(docs.repartition(5), ctx_mix_lm.token_counts(docs))
+    assert [m for m, _ in learned] == [lm.words, lm.letters] and all(len(parts) > 1 for _, parts in learned)
+    for model, parts in learned:
+        assert sum(gates.sum() for _, gates, _, _ in parts) == sum(hits.sum() for _, _, hits, _ in parts) == model.coded_bits > 0
+
+
 # all --------------------------------------------------------------------------------------------------------------
 
 
